@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, lattice, minhash_forest, mixing, quality_rules, substring_dedup, suffix_family
+from postmill.llm import bpe, language_id, lattice, minhash_forest, mixing, quality_rules, substring_dedup, suffix_family, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = language_id.fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language_id.fold(F.col("doc_id"), 5) == 0
+    known = language_id.profiles(docs.filter(~held), lang_col="lang", id_col="doc_id", text_col="text")
+    return language_id.identify(docs, known).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -55,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
