@@ -7,9 +7,12 @@ Which windows need a row is found first. Every window of WINDOW words has one
 least hash among the hashes of its ANCHOR-word windows, and equal windows have
 equal least hashes. So a window can only recur if its least hash does. About
 one word in twenty gives such a hash; these are counted, and only windows whose
-least hash occurs under a smaller and a larger id are hashed whole (96 bits)
-and counted. Nothing is lost by that, and the large shuffles are of candidates,
-not of all windows.
+least hash occurs under a smaller and a larger id can matter. Neighbouring
+windows with one least hash form a run. Equal runs (128 bits) are counted
+first: in all but the first document every window of the run goes. Then the
+windows of one copy of each run, where runs of one least hash differ, are
+hashed one by one (96 bits) and counted. Nothing is lost by that, and the large
+shuffles are of candidates, not of all windows.
 
 Counts are combined before they are shuffled, so a passage in a third of all
 documents is one row per task. The joins back to documents are plain equi-joins
@@ -57,7 +60,9 @@ def _least(words: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tu
     return at, least[at]
 
 
-def _anchors(window: int, anchor: int):
+def _runs(window: int, anchor: int):
+    """Runs of windows with one least hash: (h, seg, _d, _r, pos, n), seg the hash of all words of the run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
@@ -68,39 +73,41 @@ def _anchors(window: int, anchor: int):
                 doc = np.searchsorted(first, at, "right") - 1
                 new = np.ones(len(at), bool)
                 new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-                rows = np.unique(np.stack([doc[new].astype(np.uint64), least[new]], 1), axis=0) if new.any() else np.zeros((0, 2), np.uint64)
-                of = rows[:, 0].astype(np.int64) + a
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64)), pa.array(d[of]), pa.array(r[of])], names=["h", "_d", "_r"])
+                start = np.flatnonzero(new)
+                n = np.diff(np.concatenate([start, [len(at)]]))
+                low, of = at[start], doc[start]
+                seg = rolling.spans(words, low, low + n + window - 1, rolling.WORD_BASE)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least[start].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(d[of + a]), pa.array(r[of + a]), pa.array((low - first[of]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["h", "seg", "_d", "_r", "pos", "n"],
+                )
 
     return run
 
 
-def _candidates(window: int, anchor: int):
-    """From (_d, _r, _text, hs): the whole hashes of the windows whose least hash is in hs, with their first word."""
+def _windows(window: int):
+    """From (_d, _text, parts): the 96-bit hashes of the windows of each part, with their place k in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            d, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wanted = batch.column(3)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            d, parts = batch.column(0).to_numpy(), batch.column(2)
             for a, b in rolling.runs(SLICE, [len(t) for t in texts]):
                 _, _, _, words, first = _words(texts[a:b])
-                at, least = _least(words, first, window, anchor)
-                doc = np.searchsorted(first, at, "right") - 1
-                part = wanted.slice(a, b - a)
-                n = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                key = np.repeat(np.arange(b - a, dtype=np.uint64), n) * np.uint64(0x9FB21C651E98DF25)
-                hit = np.isin(least ^ (doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ key)
-                at, doc = at[hit], doc[hit]
+                x = parts.slice(a, b - a)
+                doc = np.repeat(np.arange(b - a), x.value_lengths().to_numpy())
+                h, seg, pos, n = (f.to_numpy() for f in x.flatten().flatten())
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(first[doc] + pos, n) + k
                 h1 = rolling.windows(words, window, rolling.WORD_BASE)[at].view(np.int64)
                 h2 = (rolling.windows(rolling.mix(words + np.uint64(1)), window, rolling.WORD_BASE_2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d[doc + a]), pa.array(r[doc + a]), pa.array((at - first[doc]).astype(np.int32))], names=["h1", "h2", "_d", "_r", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.repeat(d[a + doc], n)), pa.array(np.repeat(h, n)), pa.array(np.repeat(seg, n)), pa.array(k.astype(np.int32))], names=["h1", "h2", "_d", "h", "seg", "k"])
 
     return run
 
 
 def _removals(window: int):
-    """From (_id, _text, starts): words, removed intervals and the kept text."""
+    """From (_id, _text, marks): words, removed intervals and the kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +118,14 @@ def _removals(window: int):
                 for k in range(a, b):
                     words = texts[k].split()  # ASCII white space, as in the contract, for bytes
                     gone = np.zeros(len(words) + 1, np.int32)
-                    if marks[k].is_valid:
-                        at = np.asarray(marks[k].values)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + window, -1)
+                    for m in (marks[k].as_py() or ()) if marks[k].is_valid else ():
+                        if m["whole"]:
+                            gone[m["pos"]] += 1
+                            gone[m["pos"] + m["n"] + window - 1] -= 1
+                        elif m["ks"]:
+                            at = m["pos"] + np.array(m["ks"])
+                            np.add.at(gone, at, 1)
+                            np.add.at(gone, at + window, -1)
                     covered = np.cumsum(gone[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
                     n_words.append(len(words))
@@ -140,14 +151,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     empty one.
     """
     keyed = _keyed(docs, id_col, text_col)
-    anchors = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_anchors(window, anchor), "h long, _d long, _r long"), "substring-anchors")
-    shared = anchors.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h")
-    wanted = anchors.join(shared, "h").groupBy("_d", "_r").agg(F.collect_list("h").alias("hs"))  # bounded by the document's own length
-    found = keyed.join(wanted, ["_d", "_r"], "left").select("_d", "_r", "_text", "hs").mapInArrow(_candidates(window, anchor), "h1 long, h2 int, _d long, _r long, pos int")
-    counted = found.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low")
-    marks = found.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("_d", "_r").agg(F.collect_list("pos").alias("starts"))
+    names = "h long, seg long, _d long, _r long, pos int, n int"
+    found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_runs(window, anchor), names), "substring-runs")
+    shared = found.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h")
+    runs = materialize(found.join(shared, "h"), "substring-shared")
+    distinct = materialize(runs.groupBy("h", "seg").agg(F.min(F.struct("_d", "_r", "pos")).alias("at"), F.first("n").alias("n")), "substring-distinct")
+    several = distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    parts = distinct.join(several, "h").select("at._d", "at._r", F.struct("h", "seg", "at.pos", "n").alias("part"))
+    wanted = parts.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
+    hashed = keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int")
+    counted = hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low")
+    early = hashed.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
+    firsts = distinct.select("h", "seg", F.col("at._d").alias("low")).join(early, ["h", "seg"], "left")
+    marked = runs.join(firsts, ["h", "seg"]).filter("low < _d or ks is not null")
+    marks = marked.groupBy("_d", "_r").agg(F.collect_list(F.struct("pos", "n", F.expr("low < _d").alias("whole"), F.expr("case when low < _d then null else ks end").alias("ks"))).alias("marks"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    removed = keyed.join(marks, ["_d", "_r"], "left").select("_id", "_text", "starts").mapInArrow(
+    removed = keyed.join(marks, ["_d", "_r"], "left").select("_id", "_text", "marks").mapInArrow(
         _removals(window), f"_id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
     )
     return removed.withColumnRenamed("_id", id_col)
