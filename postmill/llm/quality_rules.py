@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 GAP, SYMBOLS, HAS_WORD = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 #: Hash buckets of n-grams, added to each bucket's count, least mean log ratio of a document that stays.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.25
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.5
 #: Documents that stand for the trusted target, at most (smallest hash of the id first).
 TRUSTED_DOCS = 20_000
 #: Base rules: least words, and the most per cent of words in repeated windows.
@@ -130,11 +130,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     every score is 0. Repeated rows are judged alike; an empty table gives an
     empty one.
     """
-    spark = docs.sparkSession
     trusted = docs.join(F.broadcast(trusted_ids(labels, id_col=id_col)), F.col(id_col) == F.col("_trusted"), "left_semi")
     ratios = log_ratios(bucket_counts(docs, text_col=text_col), bucket_counts(trusted, text_col=text_col))
-    table = spark.createDataFrame([(ratios,)], "_ratio array<double>")  # one row of BUCKETS numbers
-    judged = statistics(docs, text_col=text_col).join(F.broadcast(table))
+    # One row of BUCKETS numbers, read as a scalar subquery: each task gets it once, and nothing is joined.
+    table = docs.sparkSession.createDataFrame([(ratios,)], "_ratio array<double>").scalar()
+    judged = statistics(docs, text_col=text_col).withColumn("_ratio", table)
     zero, ratio = F.lit(0.0), F.col("_ratio")
     total = sum((F.aggregate(kind, zero, lambda a, b: a + F.get(ratio, b)) for kind in _kinds(F.col("_words"))), zero)
     n = 3 * F.size("_words")
