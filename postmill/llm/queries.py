@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, language_id, lattice, minhash_forest, mixing, quality_rules, substring_dedup, suffix_family, toxicity
+from postmill.llm import bpe, language_id, lattice, license_scan, minhash_forest, mixing, quality_rules, substring_dedup, suffix_family, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +70,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -76,4 +81,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _license_sql() -> str:
+    known = license_scan.template_bigrams(license_scan.TEMPLATES)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in known.items())
+    return f"""
+WITH templates(license, grams) AS (VALUES {rows}),
+lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, coalesce(text, '') AS whole FROM documents),
+units AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS unit, unnest(parts) AS u FROM lines
+  UNION ALL SELECT doc_id, 0, whole FROM lines WHERE len(parts) > 1),
+words AS (SELECT doc_id, unit, list_filter(string_split_regex(lower(u), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
+own AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS o FROM words WHERE len(w) > 1),
+scored AS (
+  SELECT doc_id, unit, license, 2 * len(list_intersect(o, grams)) / (len(o) + len(grams)) AS d FROM own, templates
+  WHERE len(o) BETWEEN len(grams) * {license_scan.LEAST_DICE} / (2 - {license_scan.LEAST_DICE}) AND len(grams) * (2 - {license_scan.LEAST_DICE}) / {license_scan.LEAST_DICE}),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY d DESC, license) AS rn FROM scored)
+SELECT doc_id, unit::INT AS unit, license, round(d, 6) AS dice FROM best WHERE rn = 1 AND round(d, 6) >= {license_scan.LEAST_DICE}
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+}
