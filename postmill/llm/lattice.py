@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import rolling
 from postmill.llm.components import connected_components
+from postmill.llm.dealing import deal, gathered, groups
 from postmill.llm.storage import materialize
 
 COSINE = 0.95
@@ -126,34 +127,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64).ravel()), pa.array(np.repeat(node[rows], names.shape[1])), pa.array(own.ravel())], names=["cell", "node", "own"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """The tables of equal `key` in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
-        start = 0
-        for k, x in enumerate(keys):
-            if x != last:
-                if start < k:
-                    held.append(batch.slice(start, k - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], k, x
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _linked(cosine: float):
     """From sorted (cell, i, j, side, node, own, raw): links (a, b) of cells, spanning forests of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for g in _groups(batches, ["cell", "i", "j"]):
+        for g in groups(batches, ["cell", "i", "j"]):
             node, own = g["node"].to_numpy(), g["own"].to_numpy(zero_copy_only=False)
             u = units(g["raw"].to_pylist())
             near = (u @ u.T >= cosine) & (own[:, None] | own[None, :])
@@ -191,7 +171,7 @@ def _counted(cosine: float):
     """From sorted (component, i, j, side, node, times, raw): (node, n), the vectors of the other chunk that each is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["component", "i", "j"]):
+        for g in groups(batches, ["component", "i", "j"]):
             node, times, side = g["node"].to_numpy(), g["times"].to_numpy(), g["side"].to_numpy()
             u = units(g["raw"].to_pylist())
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -207,19 +187,6 @@ def _counted(cosine: float):
     return run
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` with columns i, j and side: a copy of each for every pair of chunks of its group that it belongs to.
-
-    A group of up to CHUNK rows is one chunk and its rows are not copied.
-    """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_m"))
-    chunks = F.ceil(F.col("_m") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks.cast("long")).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(F.col("_c"), o).alias("i"), F.greatest(F.col("_c"), o).alias("j"), (F.col("_c") > o).cast("int").alias("side")))
-    dealt = rows.join(sizes.filter("_m > 1"), key).withColumns({"_k": chunks, "_c": mine}).withColumn("_x", F.explode(spread))
-    return dealt.select(*rows.columns, "_x.i", "_x.j", "_x.side")
-
-
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of `vectors`.
 
@@ -236,13 +203,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     nodes = materialize(clean.filter("raw is not null").groupBy("raw").agg(F.min("_v").alias("node"), F.count("*").alias("times")), "lattice-nodes")
     placed = materialize(nodes.select("node", "raw").mapInArrow(_hashed, "cell long, node long, own boolean"), "lattice-cells")
     met = placed.groupBy("cell").agg(F.count("*").alias("m"), F.max("own").alias("some")).filter("m > 1 and some").select("cell")
-    meeting = _dealt(placed.join(met, "cell"), "cell").join(nodes.select("node", "raw"), "node")
-    key = ["cell", "i", "j"]
-    links = meeting.repartition(*key).sortWithinPartitions(*key).select("cell", "i", "j", "side", "node", "own", "raw").mapInArrow(_linked(cosine), "a long, b long")
+    meeting = deal(placed.join(met, "cell"), "cell", CHUNK).join(nodes.select("node", "raw"), "node")
+    links = gathered(meeting, "cell").select("cell", "i", "j", "side", "node", "own", "raw").mapInArrow(_linked(cosine), "a long, b long")
     known = materialize(connected_components(links), "lattice-components")
-    key = ["component", "i", "j"]
     members = nodes.join(known, "node").select("component", "node", "times", "raw")
-    counted = _dealt(members, "component").repartition(*key).sortWithinPartitions(*key).select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(_counted(cosine), "node long, n long")
+    counted = gathered(deal(members, "component", CHUNK), "component").select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(_counted(cosine), "node long, n long")
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     found = nodes.join(known, "node", "left").join(degree, "node", "left").select("raw", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"))
     result = clean.join(found, "raw", "left").select(F.col("_v").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "_v").alias("component_id"))
