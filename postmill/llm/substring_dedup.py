@@ -159,7 +159,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     several = distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     parts = distinct.join(several, "h").select("at._d", "at._r", F.struct("h", "seg", "at.pos", "n").alias("part"))
     wanted = parts.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
-    hashed = keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int")
+    # With _id, which is not read here, the texts are shuffled as for the last join, so once in all.
+    hashed = keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int")
     counted = hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low")
     early = hashed.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
     firsts = distinct.select("h", "seg", F.col("at._d").alias("low")).join(early, ["h", "seg"], "left")
