@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from postmill.llm import rolling
 
 BUCKETS, SIZE, GRAMS = 1 << 18, 4, (3, 4, 5)
-TRAIN_DOCS, EPOCHS, STEP_DOCS, RATE, DECAY, GAIN = 2000, 12, 128, 0.05, 1e-5, 100.0
+TRAIN_DOCS, LEAST_DOCS, EPOCHS, STEP_DOCS, RATE, DECAY, GAIN = 2000, 8, 12, 128, 0.01, 5e-3, 300.0
 SLICE = 1 << 20
 _STEPS = 1 << 20
 
@@ -76,10 +76,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     if not len(bags) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     rng = np.random.default_rng(seed)
+    # Buckets of few documents would only fit noise; they keep a zero vector.
+    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCS
+    totals = [n.sum() for _, n in bags]
+    bags = [(b[seen[b]], n[seen[b]]) for b, n in bags]
     used, at = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
     ends = np.cumsum([len(b) for b, _ in bags])
     rows = [at[e - len(b) : e] for e, (b, _) in zip(ends, bags, strict=True)]
-    shares = [(n / n.sum()).astype(np.float32) for _, n in bags]
+    shares = [(n / t).astype(np.float32) for t, (_, n) in zip(totals, bags, strict=True)]
     vectors = np.zeros((len(used), SIZE), np.float32)
     soft = rng.standard_normal((SIZE, 2)).astype(np.float32) * 0.5
     bias = np.zeros(2, np.float32)
