@@ -11,7 +11,8 @@ the data are sparse; larger regions are split by the next minimum, and give
 the neighbours in the order besides. Where even whole paths are shared by more,
 each node gets the next few in the order and the first of the region, and the
 region's members are kept: once components are known, members outside the
-region's largest component are paired with all of the others.
+region's largest component are compared with all of the others, in pairs of
+chunks, so that what is handed on are links, not pairs.
 
 Links are confirmed on whole shingle sets. First the likeliest and the smallest
 partner of each node are confirmed; of the other candidates only those that
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from postmill.llm import rolling
 from postmill.llm.components import connected_components
+from postmill.llm.dealing import deal, gathered, groups
 from postmill.llm.storage import materialize
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, REGION, NEXT = 20, 6, 8, 3
+TREES, DEPTH, REGION, NEXT, CHUNK = 20, 6, 8, 3, 2048
 #: Bits of the one-bit sketch that prunes candidates, and the least equal ones: five deviations below what 75 % gives.
 SKETCH_BITS, LEAST_EQUAL = 128, 94
 SLICE = 2 << 20
@@ -161,6 +163,28 @@ def _sets(shingle: int):
     return run
 
 
+def _stray_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted (region, i, j, node, component, astray, shingles): a link of each stray to every other component that it has one with."""
+    for g in groups(batches, ["region", "i", "j"]):
+        node, of, astray = g["node"].to_numpy(), g["component"].to_numpy(), np.flatnonzero(g["astray"].to_numpy(zero_copy_only=False))
+        sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        at = np.cumsum(n) - n
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(known), np.int32)
+        found: set[tuple[int, int]] = set()
+        for k in astray:
+            mine = flat[at[k] : at[k] + n[k]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[flat], at)
+            mark[mine] = 0
+            other = np.flatnonzero((100 * both >= PERCENT * (n + n[k] - both)) & (of != of[k]))
+            for x in other[np.unique(of[other], return_index=True)[1]]:
+                found.add((min(int(node[k]), int(node[x])), max(int(node[k]), int(node[x]))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40))
@@ -219,9 +243,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = scanned.filter("b is null").select(F.col("x").alias("region"), "a").distinct()
     placed = members.join(known.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     largest = placed.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"))
-    astray = placed.join(largest.filter("parts > 1"), "region").filter("component <> main.component").select("region", F.col("a").alias("b"), F.col("component").alias("cb"))
-    last = placed.join(astray, "region").filter("component <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirm(last)
+    mixed = placed.join(largest.filter("parts > 1"), "region").select("region", F.col("a").alias("node"), "component", (F.col("component") != F.col("main.component")).alias("astray"))
+    met = gathered(deal(mixed, "region", CHUNK).join(sets, "node"), "region").select("region", "i", "j", "node", "component", "astray", "shingles")
+    more = materialize(met.mapInArrow(_stray_links, "a long, b long").distinct(), "forest-links")
     if more.limit(1).count():
         known = materialize(connected_components(links.union(more)), "forest-components")
 
@@ -231,3 +255,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return placed.select(
         F.when(named, F.col("_d")).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_component") < UNNAMED, F.col("_component")).alias("component_id"), (F.col("_d") == F.col("_component")).alias("kept"), "_d", "_component"
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that :func:`near_duplicates` keeps, with all their columns; of rows that share an id, one.
+
+    Rows without words are linked with nothing and stay, one for each id.
+    """
+    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col).select("_d", "kept"), "forest-verdicts")
+    gone = found.filter("not kept").select(F.col("_d").alias("_gone")).distinct()
+    twice = found.filter("kept").groupBy(F.col("_d").alias("_twice")).agg(F.count("*").alias("m")).filter("m > 1").select("_twice")
+
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40))))
+    stay = named.join(listed(gone), F.col("_d") == F.col("_gone"), "left_anti")
+    if twice.limit(1).count():
+        some = listed(twice)
+        stay = stay.join(some, F.col("_d") == F.col("_twice"), "left_anti").unionByName(stay.join(some, F.col("_d") == F.col("_twice"), "left_semi").dropDuplicates(["_d"]))
+    return stay.drop("_d")
