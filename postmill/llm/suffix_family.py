@@ -27,7 +27,7 @@ them before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -269,8 +269,8 @@ def _removals(match: int):
                     ends = [0, *(int(x) for x in e)]
                     kept.append(b"".join(t[p:q] for p, q in zip(ends, [*(int(x) for x in s), len(t)], strict=True)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=["_id", "n_bytes", "n_removed", "spans", "kept"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[3:])],
+                    names=["_id", "n_bytes", "n_removed", "spans", "kept", *batch.schema.names[3:]],
                 )
 
     return run
@@ -285,7 +285,9 @@ def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram
     parts = distinct.join(several, "core").select("at._d", "at._r", F.struct("core", "seg", "at.start", "n", "near", "block").alias("part"), (F.col("segments") > hot).alias("hot"))
     one_list = lambda p: p.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # noqa: E731  bounded by the document's own length
     columns = "core long, seg long, n int, near int, block int, bytes binary"
-    cut = lambda p: keyed.join(one_list(p), ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts").mapInArrow(_cut(match), columns)
+    # With columns that are not read here, the texts are shuffled as for the last join, so once in all.
+    others = [c for c in keyed.columns if c not in ("_d", "_r", "_text")]
+    cut = lambda p: keyed.join(one_list(p), ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(_cut(match), columns)
     found = cut(parts.filter("not hot")).repartition("core").sortWithinPartitions("core").mapInArrow(_indexed(match, gram), "core long, seg long, spans array<struct<low:int,high:int>>")
     if parts.filter("hot").limit(1).count():
         strings = cut(parts.filter("hot")).mapInArrow(_strings(match, gram), "core long, seg long, k int, h1 long, h2 long")
@@ -295,9 +297,11 @@ def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram
     return found.filter(F.size("spans") > 0).unionByName(copied)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) of each row: removed runs of bytes, and the bytes that stay.
 
+    The columns named by `carry` come along in a struct `carried`.
+
     A byte goes if a `match`-byte string that covers it also starts anywhere
     else in any row, the same row included, judged on the input. Matches never
     cross rows. A null text counts as empty. Repeated rows are occurrences like
@@ -306,8 +310,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    keyed = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("_id", "_text").alias("_r"), "_id", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    keyed = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("_id", "_text").alias("_r"), *rows.columns)
     names = "core long, seg long, _d long, _r long, start int, n int, near int, block int"
     found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_segments(match, gram), names), "suffix-segments")
     again = found.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
@@ -315,9 +319,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = repeated_spans(occurrences, keyed, match=match, gram=gram)
     marks = occurrences.join(spans, ["core", "seg"]).groupBy("_d", "_r").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
     id_type = docs.schema[id_col].dataType.simpleString()
+    more = [f"carried {rows.schema['carried'].dataType.simpleString()}"] if carry else []
     return (
         keyed.join(marks, ["_d", "_r"], "left")
-        .select("_id", "_text", "marks")
-        .mapInArrow(_removals(match), f"_id {id_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+        .select("_id", "_text", "marks", *rows.columns[2:])
+        .mapInArrow(_removals(match), ", ".join([f"_id {id_type}", "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", *more]))
         .withColumnRenamed("_id", id_col)
     )
