@@ -461,3 +461,12 @@ def convert_messages(t: DataFrame) -> DataFrame:
     mail = _message(_s("s", C("doc_id")), F.lit("a@b.c"), F.lit(""), _s("body ", C("source"), "\n-- \nsig"))
     done = convert.convert_df(t.select(C("doc_id").cast("string").alias("path"), mail.alias("content")), ConvertOptions(strip_signatures=True))
     return done.select(C("source").cast("long").alias("doc_id"), "subject", "body", "slug", C("diagnostics.state").alias("state"), "success")
+
+
+@query("documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'normal' WHEN doc_id % 3 = 1 THEN 'degraded' END AS state, CASE WHEN doc_id % 3 < 2 THEN doc_id % 2 END AS warnings, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id || ': broken' ELSE '' END AS error FROM documents")
+def ui_normalize_json(t: DataFrame) -> DataFrame:
+    state = F.when(C("doc_id") % 3 == 0, "normal").when(C("doc_id") % 3 == 1, "degraded").otherwise("other")
+    raw = _s('{"state":"', state, '"', F.when(C("doc_id") % 2 == 1, ',"warnings":[{"code":"c","message":"m","severity":"warning"}]').otherwise(""), "}")
+    errors = F.when(C("doc_id") % 2 == 0, _s('[{"path":"f', C("doc_id"), '","code":"c","message":"broken"}]')).otherwise("[]")
+    d = ui.normalized_diagnostics(raw)
+    return t.select("doc_id", d["state"].alias("state"), F.when(d.isNotNull(), F.size(d["warnings"])).cast("long").alias("warnings"), ui.first_error(errors).alias("error"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
 from postmill.operators.convert import convert_df
@@ -64,3 +66,36 @@ def dedupe(events: DataFrame, *, key: list[str], at: str, order: str, gap: float
         lambda s: s["fresh"],
     )
     return folded.select(*key, F.explode(F.arrays_zip("_all", keep.alias("fresh"))).alias("x")).select(*key, F.col("x._all.t").alias(at), F.col("x._all.o").alias(order), F.col("x.fresh").alias("fresh"))
+
+
+def stable(files: DataFrame, seconds: float = STABLE_SECONDS) -> DataFrame:
+    """Only files that have not changed for a while; the listing evaluates this, contents are not read for it."""
+    return files.filter(F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+class _LastAccepted:
+    """Keyed state of the exact rule: the time of the last accepted event of a path."""
+
+    def __init__(self, gap: float) -> None:
+        self.gap = gap
+
+    def run(self, key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        events = pd.concat(list(batches)).sort_values("at", kind="stable")
+        fresh = []
+        for at in events["at"]:
+            new = last is None or at - last >= self.gap
+            last = at if new else last
+            fresh.append(new)
+        state.update((last,))
+        yield events.assign(path=key[0], fresh=fresh)[["path", "at", "fresh"]]
+
+
+def dedupe_stream(events: DataFrame, gap: float = DEDUPE_SECONDS) -> DataFrame:
+    """A stream (path string, at double seconds) with `fresh`, by the exact rule of :func:`dedupe`, across batches.
+
+    The state holds one number for each path. Events that arrive after a later
+    batch was decided are judged against the last accepted one then.
+    """
+    kind = "path string, at double, fresh boolean"
+    return events.select("path", "at").groupBy("path").applyInPandasWithState(_LastAccepted(gap).run, kind, "last double", "append", "NoTimeout")

@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import sinks
+from postmill.functions import registry
+from postmill.operators import jobs, sinks
 from postmill.options import ConvertOptions
 from postmill.sources import eml, listing
 from postmill.streaming import watch
@@ -75,3 +76,35 @@ def test_dedupe_is_a_fold(spark):
     assert [r.fresh for r in watch.dedupe(df, key=["k"], at="at", order="id").orderBy("id").collect()] == [True, False, True, True, False, True]
     times = spark.range(1).select(watch.accepted(F.array(*map(F.lit, (0, 3, 6, 11))), F.lit(5)).alias("t")).first().t
     assert times == [0, 6, 11]
+
+
+def test_dedupe_stream_keeps_state_across_batches(spark, tmp_path):
+    source, out = str(tmp_path / "events"), []
+    make = lambda rows: spark.createDataFrame(rows, "path string, at double").coalesce(1).write.mode("append").parquet(source)
+    make([("a", 0.0), ("a", 3.0), ("b", 1.0)])
+    stream = watch.dedupe_stream(spark.readStream.schema("path string, at double").parquet(source))
+    start = lambda: stream.writeStream.outputMode("append").foreachBatch(lambda df, n: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(90)
+    start()
+    make([("a", 4.0), ("a", 6.0), ("b", 5.0)])
+    start()
+    assert sorted(out) == [("a", 0.0, True), ("a", 3.0, False), ("a", 4.0, False), ("a", 6.0, True), ("b", 1.0, True), ("b", 5.0, False)]
+
+
+def test_jobs_and_registry(spark, tmp_path):
+    import io
+
+    first = jobs.land(io.BytesIO(b"x"), str(tmp_path), "../m.eml", batch="1")
+    second = jobs.land(io.BytesIO(b"y"), str(tmp_path), "m.eml", batch="1")
+    assert first.endswith("_batch-1/m.eml") and second.endswith("_batch-1/m-2.eml") and not jobs.leave(os.path.dirname(first))
+    os.unlink(first), os.unlink(second)
+    assert jobs.leave(os.path.dirname(first)) and not os.path.exists(os.path.dirname(first))
+    with pytest.raises(ValueError):
+        jobs.checked_paths(str(tmp_path), str(tmp_path / "in"))
+    assert jobs.load_settings(str(tmp_path / "none")) is None
+    assert jobs.retried(ConvertOptions(), "retry_with_html_repair", "retry_with_html_repair").allow_html_repair_on_panic
+    with pytest.raises(RuntimeError):
+        jobs.retried(ConvertOptions(), "retry_with_html_repair", None)
+    assert len(jobs.failures(ExceptionGroup("g", [ValueError("a"), ExceptionGroup("h", [OSError("b")])]))) == 2
+    registry.register(spark)
+    row = spark.sql("SELECT slugify('Re: A b'), html_to_markdown('<b>x</b>'), reply_zones('hi')[0].kind, parse_eml(cast('Subject: s\\n\\nb' as binary)).subject").first()
+    assert tuple(row) == ("a-b", "**x**", "BODY", "s")
