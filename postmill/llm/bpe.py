@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries.
 
-Each Python worker holds one in-memory DuckDB. The words of a slice of
+Each task holds one in-memory DuckDB. The words of a slice of
 documents that are not cached yet become token-position rows, which join the
 merge table; each word's leftmost pair of least rank is contracted, and the
 recursion goes on until no pair of any word can merge. Decoding joins the
@@ -14,6 +14,7 @@ is checked, so what is broadcast does not grow with the data.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RANK_FILE_BYTES = 64 << 20
-#: Text bytes that are turned into rows at a time, words that a worker remembers, words in one recursive query.
+#: Text bytes that are turned into rows at a time, words that a task remembers, words in one recursive query.
 SLICE_BYTES, CACHE_WORDS, QUERY_WORDS = 2 << 20, 300_000, 100_000
 #: Longer words go through the query that contracts all occurrences of a pair at once.
 LONG_WORD = 64
@@ -99,7 +100,7 @@ class BpeEngine:
                     harder.update(x for x in (a, b) if x > r)
         self.byte_id = np.array([rank[bytes([i])] for i in range(256)], dtype=np.int32)
         # A rank file's ranks are its token ids. Pieces are held as Latin-1 text, one character a byte.
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
         table = pa.table({"pair": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "rank": np.array(made, np.int32), "simple": [m not in harder for m in made]})
         self.con.register("given", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -141,6 +142,13 @@ class BpeEngine:
                 for (w, _), ids in zip(part[k : k + step], self._contract([b for _, b in part[k : k + step]], sql), strict=True):
                     self.cache[w] = ids.tobytes()
 
+    def close(self) -> None:
+        """Give back all that is held; workers outlive tasks."""
+        self.con.close()
+        self.cache, self.rank = {}, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [self.find(t) if t else [] for t in texts]
         self.learn(set().union(*words))
@@ -157,17 +165,6 @@ class BpeEngine:
         return [text.get(k, "").encode("latin-1") for k in range(len(ids))]
 
 
-_ENGINES: dict[tuple[int, str], BpeEngine] = {}
-
-
-def _engine(ranks: bytes, pattern: str) -> BpeEngine:
-    """One engine for each vocabulary in a worker, kept between tasks."""
-    key = (hash(ranks), pattern)
-    if key not in _ENGINES:
-        _ENGINES[key] = BpeEngine(ranks, pattern)
-    return _ENGINES[key]
-
-
 def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` characters each, one row at least."""
     start = held = 0
@@ -191,7 +188,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str =
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _engine(ranks.value, pattern)
+        engine = BpeEngine(ranks.value, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_BYTES):
@@ -199,6 +196,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str =
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), listed, pa.array(engine.decode(ids), pa.binary())], names=[id_col, "ids", "decoded"])
+        engine.close()
 
     return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
 
