@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, language_id, lattice, license_scan, minhash_forest, mixing, quality_rules, substring_dedup, suffix_family, toxicity
+from postmill.llm import bpe, language_id, lattice, license_scan, minhash_forest, mixing, oracles, quality_rules, substring_dedup, suffix_family, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,5 +102,9 @@ SELECT doc_id, unit::INT AS unit, license, round(d, 6) AS dice FROM best WHERE r
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING,
     "op2_license_scan": _license_sql(),
+    "op4_minhash_forest": oracles.NEAR,
+    "op5_suffix_dedup": oracles.SUFFIX,
+    "op8_lattice_dedup": oracles.LATTICE,
 }
