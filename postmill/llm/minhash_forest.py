@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = materialize(keyed.mapInArrow(_signatures(shingle), "_d long, n long, s1 long, s2 long, sig array<int>, k1 long, k2 long"), "forest-signatures")
     whole = signed.filter("n > 0")
     # Of equal sets the smallest id stands for all.
-    names = whole.groupBy("s1", "s2", "n").agg(F.min("_d").alias("node"))
+    # Written, so that joins with it shuffle both sides and Spark can split a partition of a frequent set.
+    names = materialize(whole.groupBy("s1", "s2", "n").agg(F.min("_d").alias("node")), "forest-names")
     nodes = whole.join(names, ["s1", "s2", "n"]).filter("_d = node").dropDuplicates(["s1", "s2", "n"])
     tree = F.col("t") * DEPTH
     order = ["t", *(f"v{k}" for k in range(1, DEPTH + 1)), "node"]
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if more.limit(1).count():
         known = materialize(connected_components(links.union(more)), "forest-components")
 
-    ends = names.join(known, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("_component"))
+    ends = materialize(names.join(known, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("_component")), "forest-ends")
     placed = signed.select("_d", "n", "s1", "s2").join(ends, ["s1", "s2", "n"], "left").withColumn("_component", F.coalesce("_component", "_d"))
     named: Column = F.col("_d") < UNNAMED
     return placed.select(
