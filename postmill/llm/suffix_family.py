@@ -281,7 +281,7 @@ def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram
     distinct = materialize(
         occurrences.groupBy("core", "seg").agg(F.count("*").alias("times"), F.min(F.struct("_d", "_r", "start")).alias("at"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("block").alias("block")), "suffix-distinct"
     )
-    several = distinct.groupBy("core").agg(F.count("*").alias("segments")).filter("segments > 1")
+    several = materialize(distinct.groupBy("core").agg(F.count("*").alias("segments")).filter("segments > 1"), "suffix-several")
     parts = distinct.join(several, "core").select("at._d", "at._r", F.struct("core", "seg", "at.start", "n", "near", "block").alias("part"), (F.col("segments") > hot).alias("hot"))
     one_list = lambda p: p.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # noqa: E731  bounded by the document's own length
     columns = "core long, seg long, n int, near int, block int, bytes binary"
@@ -314,7 +314,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("_id", "_text").alias("_r"), *rows.columns)
     names = "core long, seg long, _d long, _r long, start int, n int, near int, block int"
     found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_segments(match, gram), names), "suffix-segments")
-    again = found.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
+    # Written, so that the join shuffles both sides and Spark can split a partition of a frequent core.
+    again = materialize(found.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core"), "suffix-recurring")
     occurrences = materialize(found.join(again, "core"), "suffix-occurrences")
     spans = repeated_spans(occurrences, keyed, match=match, gram=gram)
     marks = occurrences.join(spans, ["core", "seg"]).groupBy("_d", "_r").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
