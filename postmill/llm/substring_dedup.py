@@ -153,7 +153,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed = _keyed(docs, id_col, text_col)
     names = "h long, seg long, _d long, _r long, pos int, n int"
     found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_runs(window, anchor), names), "substring-runs")
-    shared = found.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h")
+    # Written, so that the join shuffles both sides and Spark can split a partition of a frequent run.
+    shared = materialize(found.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h"), "substring-recurring")
     runs = materialize(found.join(shared, "h"), "substring-shared")
     distinct = materialize(runs.groupBy("h", "seg").agg(F.min(F.struct("_d", "_r", "pos")).alias("at"), F.first("n").alias("n")), "substring-distinct")
     several = distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
@@ -163,9 +164,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hashed = keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int")
     counted = hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low")
     early = hashed.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
-    firsts = distinct.select("h", "seg", F.col("at._d").alias("low")).join(early, ["h", "seg"], "left")
-    marked = runs.join(firsts, ["h", "seg"]).filter("low < _d or ks is not null")
-    marks = marked.groupBy("_d", "_r").agg(F.collect_list(F.struct("pos", "n", F.expr("low < _d").alias("whole"), F.expr("case when low < _d then null else ks end").alias("ks"))).alias("marks"))
+    first = distinct.select("h", "seg", F.col("at._d").alias("_d"))
+    none = F.lit(None).cast("array<int>")
+    later = runs.join(first.withColumnRenamed("_d", "low"), ["h", "seg"]).filter("low < _d").select("_d", "_r", "pos", "n", F.lit(True).alias("whole"), none.alias("ks"))
+    own = runs.join(first, ["h", "seg", "_d"]).join(early, ["h", "seg"]).select("_d", "_r", "pos", "n", F.lit(False).alias("whole"), "ks")
+    marks = later.union(own).groupBy("_d", "_r").agg(F.collect_list(F.struct("pos", "n", "whole", "ks")).alias("marks"))
     id_type = docs.schema[id_col].dataType.simpleString()
     removed = keyed.join(marks, ["_d", "_r"], "left").select("_id", "_text", "marks").mapInArrow(
         _removals(window), f"_id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
