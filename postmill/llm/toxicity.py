@@ -10,6 +10,7 @@ word, so it is scored like it without having been seen.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from postmill.llm import rolling
 
 BUCKETS, SIZE, GRAMS = 1 << 18, 4, (3, 4, 5)
 TRAIN_DOCS, LEAST_DOCS, EPOCHS, STEP_DOCS, RATE, DECAY, GAIN = 2000, 8, 12, 128, 0.01, 5e-3, 300.0
+#: Zero vectors that are averaged into every bag, so that a few n-grams of a short text do not decide alone.
+BLANKS = 40
 SLICE = 1 << 20
 _STEPS = 1 << 20
 
@@ -67,7 +70,7 @@ class Model:
     bias: float
 
     def score(self, bag: np.ndarray) -> float:
-        z = self.bias + (float(self.weight[bag].mean(dtype=np.float64)) if len(bag) else 0.0)
+        z = self.bias + (float(self.weight[bag].sum(dtype=np.float64)) / (len(bag) + BLANKS))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -77,13 +80,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     rng = np.random.default_rng(seed)
     # Buckets of few documents would only fit noise; they keep a zero vector.
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCS
-    totals = [n.sum() for _, n in bags]
-    bags = [(b[seen[b]], n[seen[b]]) for b, n in bags]
-    used, at = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
-    ends = np.cumsum([len(b) for b, _ in bags])
-    rows = [at[e - len(b) : e] for e, (b, _) in zip(ends, bags, strict=True)]
-    shares = [(n / t).astype(np.float32) for t, (_, n) in zip(totals, bags, strict=True)]
+    seen = np.zeros(BUCKETS, np.int32)
+    for b, _ in bags:
+        seen[b] += 1  # a bag names a bucket once
+    used = np.flatnonzero(seen >= LEAST_DOCS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    rows = [place[b] for b, _ in bags]
+    shares = [(n / (n.sum() + BLANKS))[r >= 0].astype(np.float32) for r, (_, n) in zip(rows, bags, strict=True)]
+    rows = [r[r >= 0] for r in rows]
     vectors = np.zeros((len(used), SIZE), np.float32)
     soft = rng.standard_normal((SIZE, 2)).astype(np.float32) * 0.5
     bias = np.zeros(2, np.float32)
@@ -137,12 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     part = F.create_map(*(F.lit(x) for y, n in sizes.items() for x in (y, min(_STEPS, -(-_STEPS * train_docs // n)))))
     chosen = marks.filter(F.pmod(F.xxhash64(F.lit(6), F.col("_id").cast("string")), F.lit(_STEPS)) < F.element_at(part, F.col("_y")))
     # About train_docs ids a class; the join broadcasts only these.
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_y").alias("label"), F.col(text_col).cast("string").alias("text"), "_id")
-    rows = texts.select("label", "text").mapInArrow(_bags, "label int, buckets array<int>, counts array<int>").toArrow()
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    texts = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_y").alias("label"), "text")
+    rows = texts.mapInArrow(_bags, "label int, buckets array<int>, counts array<int>").toArrow()
     y = rows["label"].to_numpy()
-    flat = [(rows[k].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows[k].combine_chunks().value_lengths().to_numpy())])) for k in ("buckets", "counts")] if len(y) else []
+    flat = []
+    for name in ("buckets", "counts") if len(y) else ():
+        lists = rows[name].combine_chunks()
+        flat.append((lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])))
     bags = [tuple(x[e[k] : e[k + 1]] for x, e in flat) for k in range(len(y))]
-    order = sorted(range(len(y)), key=lambda k: (int(y[k]), bags[k][0].tobytes(), bags[k][1].tobytes()))  # the same whatever the order of arrival
+    order = sorted(range(len(y)), key=lambda k: (int(y[k]), *(hashlib.blake2b(x).digest() for x in bags[k])))  # the same whatever the order of arrival
     toxic = sizes.get(1, 0) / sum(sizes.values())
     return train([bags[k] for k in order], y[order].astype(np.int64), toxic)
 
