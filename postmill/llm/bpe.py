@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Text bytes that are turned into rows at a time, words that a task remembers, words in one recursive query.
-SLICE_BYTES, CACHE_WORDS, QUERY_WORDS = 2 << 20, 300_000, 100_000
+SLICE_BYTES, CACHE_WORDS, QUERY_WORDS = 2 << 20, 500_000, 100_000
 #: Longer words go through the query that contracts all occurrences of a pair at once.
 LONG_WORD = 64
 
