@@ -12,7 +12,13 @@ the neighbours in the order besides. Where even whole paths are shared by more,
 each node gets the next few in the order and the first of the region, and the
 region's members are kept: once components are known, members outside the
 region's largest component are compared with all of the others, in pairs of
-chunks, so that what is handed on are links, not pairs.
+chunks, so that what is handed on are links, not pairs. The members of a run of
+whole paths that touches the end of a task's range are kept likewise, as the
+run may go on in the next task.
+
+So two nodes that share a whole path in any tree are compared, however crowded
+the data are around them. TREES and DEPTH are such that a pair of similarity
+PERCENT shares none with a probability of under 1e-6.
 
 Links are confirmed on whole shingle sets. First the likeliest and the smallest
 partner of each node are confirmed; of the other candidates only those that
@@ -34,9 +40,9 @@ from postmill.llm.dealing import deal, gathered, groups
 from postmill.llm.storage import materialize
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, REGION, NEXT, CHUNK = 20, 6, 8, 3, 2048
-#: Bits of the one-bit sketch that prunes candidates, and the least equal ones: five deviations below what 75 % gives.
-SKETCH_BITS, LEAST_EQUAL = 128, 94
+TREES, DEPTH, REGION, NEXT, CHUNK = 38, 4, 8, 3, 2048
+#: Bits of the one-bit sketch that prunes candidates, and the least equal ones: a pair of 75 % has fewer with a probability of under 1e-7.
+SKETCH_BITS, LEAST_EQUAL = 128, 90
 SLICE = 2 << 20
 #: Ids of rows without one: from here on.
 UNNAMED = (1 << 63) - 1 - (1 << 40)
@@ -127,6 +133,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if depth == DEPTH:
             dense, region_of = rows, np.repeat(rows[np.flatnonzero(np.diff(region, prepend=-1))], np.bincount(region)[np.unique(region)]) if len(rows) else rows
             pairs.append(np.stack([region_of, dense]))
+    turns = np.flatnonzero(differ[DEPTH])
+    low, high = (turns[0] + 1, turns[-1] + 1) if len(turns) else (len(col["t"]), 0)
+    dense = np.union1d(dense, np.concatenate([np.arange(low), np.arange(high, len(col["t"]))]))
     i, j = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
     node, n = col["node"], col["n"]
     equal = SKETCH_BITS - sum(np.bitwise_count((col[k][i] ^ col[k][j]).view(np.uint64)).astype(np.int64) for k in ("k1", "k2"))

@@ -87,6 +87,15 @@ def test_near_dense_group(spark):
     same(minhash_forest.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept"), near(rows))
 
 
+def test_near_pairs_in_a_crowd_of_no_links(spark):
+    base = " ".join(f"t{k}" for k in range(152))
+    tail = lambda i, start: " ".join([f"p{i}a p{i}b", *(f"u{start}x{k}" for k in range(24))])
+    rows = [(i, f"{base} {tail(i // 2, i)}") for i in range(1000)]  # 148 shingles of 200 are shared by any two, 150 of 198 by the two of a pair
+    got = minhash_forest.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
+    same(got, [(i, 174, i // 2 * 2, i % 2 == 0) for i in range(1000)])
+    assert near(rows[:20]) == [(i, 174, i // 2 * 2, i % 2 == 0) for i in range(20)]
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(4, text), (2, text), (2, text), (None, text), (None, "alone by itself"), (7, None), (8, ""), (8, "")]
