@@ -4,7 +4,8 @@ Every line of a text and the whole text are compared. With b bigrams in the
 template and a coefficient of at least t, a text must have between
 b * t / (2 - t) and b * (2 - t) / t bigrams; templates outside these bounds are
 never compared, and most lines fall outside the bounds of all. DataFrame
-operations only; nothing is shuffled.
+operations only; nothing is shuffled. Passages that are neither a line nor a
+whole text, and the texts of licences, are for license_passages.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, language_id, lattice, license_scan, minhash_forest, mixing, oracles, quality_rules, substring_dedup, suffix_family, toxicity
+from postmill.llm import bpe, language_id, lattice, license_passages, license_scan, minhash_forest, mixing, oracles, quality_rules, substring_dedup, suffix_family, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs).unionByName(license_passages.passages(docs))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import sha, statistics, targets
-from postmill.llm import bpe, language_id, license_scan, mixing, quality_rules, toxicity
+from postmill.llm import bpe, language_id, license_passages, license_scan, mixing, quality_rules, toxicity
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -109,6 +109,19 @@ def test_licences(spark):
     assert license_scan.scan(frame(spark, texts), {}).count() == 0
 
 
+def test_licence_passages(spark, tmp_path):
+    from pathlib import Path
+
+    from postmill.llm import queries
+
+    full = lambda name: (Path(license_passages.__file__).parent / "licences" / f"{name}.txt").read_text()
+    texts = ["code here\nThe MIT License (MIT)\n\nCopyright 2001 A. Body\n\n" + full("MIT") + "\nand more code", "some words\n" + full("BSD-3-Clause").replace("\n", "\r\n"), "x y z " * 50 + full("GPL-3.0").replace("\n", " ").replace("copyright", "copyrite", 3)]
+    texts += ["One long line which says, released\nunder the MIT License, what it is.", "A long paragraph of prose that is, by the way, licensed under CC BY 4.0. It goes on and on after that.", "intro\nReleased under the MIT License\nend", "# " + full("MPL-2.0.header").replace("\n", "\n# "), "nothing", None]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x.doc_id, x.unit, x.license) for x in queries.op2_license_scan(spark, str(tmp_path)).collect())
+    assert got == [(0, 2, "MIT"), (0, 6, "MIT"), (1, 2, "BSD-3-Clause"), (2, 1, "GPL-3.0"), (3, 1, "MIT"), (4, 1, "CC-BY-4.0"), (5, 2, "MIT"), (6, 1, "MPL-2.0")]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert quality_rules.judge(empty, labels(spark, [])).count() == mixing.mix(empty).count() == license_scan.scan(empty).count() == 0
