@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,23 +20,70 @@ from postmill.sources.eml import FILES, is_message
 
 #: Seconds in which a path that was accepted is not accepted again, and for which a file must not have changed.
 DEDUPE_SECONDS, STABLE_SECONDS = 5.0, 0.4
+#: Seconds between two looks at a file that must find it the same.
+POLL_SECONDS = 0.2
 
 
 def watched(spark: SparkSession, folder: str, *, files_per_batch: int = 1000) -> DataFrame:
     """A stream of the message files of a folder: those that are there first, then those that arrive."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[eE][mM][lL]").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.[eE][mM][lL]").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).option("ignoreMissingFiles", True)
     return stream.load(folder).filter(is_message(F.col("path")))
 
 
+def settled(spark: SparkSession, paths: list[str], seconds: float = STABLE_SECONDS) -> list[str]:
+    """Those of `paths` that are still there, once each has the same size and time in two looks and has not changed for `seconds`."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen: dict[str, tuple[int, int]] = {}
+    done, waiting = [], list(paths)
+    while waiting:
+        late = []
+        for path in waiting:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            fs = at.getFileSystem(conf)
+            if not fs.exists(at):
+                continue
+            status = fs.getFileStatus(at)
+            now = (status.getLen(), status.getModificationTime())
+            if seen.get(path) == now and time.time() * 1000 - now[1] >= 1000 * seconds:
+                done.append(path)
+            else:
+                seen[path] = now
+                late.append(path)
+        waiting = late
+        if waiting:
+            time.sleep(POLL_SECONDS)
+    return done
+
+
+def _listed(spark: SparkSession, checkpoint: str, number: int) -> list[str]:
+    """The message files that the file source listed for a batch, from its log; the batch itself leaves out those that were empty then."""
+
+    def offset(n: int) -> int:
+        return json.loads(spark.read.text(f"{checkpoint}/offsets/{n}", wholetext=True).first().value.splitlines()[-1])["logOffset"] if n >= 0 else -1
+
+    entry = F.from_json("value", "path string, batchId long")
+    entries = spark.read.text(f"{checkpoint}/sources/0").select(entry.alias("e")).select("e.*").filter(F.col("batchId").between(offset(number - 1) + 1, offset(number))).distinct()
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(p)).toString()
+    return [p for p in (path(r.path) for r in entries.collect()) if "/_batch-" not in p]
+
+
 def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], *, checkpoint: str, options: ConvertOptions | None = None, once: bool = False) -> StreamingQuery:
     """Convert what arrives and hand each batch of results to `sink`; the checkpoint remembers what was seen.
 
     The sink gets a batch again if it fails, under the same number, so it
-    should write in a way that can be repeated.
+    should write in a way that can be repeated. A batch waits until its files
+    are settled and then reads them; it is done only after that, so a file
+    that is still being copied is neither read in part nor lost by a restart.
+    A path comes once, so there is nothing for :func:`dedupe_stream` to drop.
     """
 
     def batch(files: DataFrame, number: int) -> None:
-        sink(convert_df(files, options), number)
+        seen = {r.path for r in files.select("path").collect()}  # files_per_batch at most
+        ready = settled(spark, sorted(seen | set(_listed(spark, checkpoint, number))))
+        empty = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in ready if p not in seen]
+        if empty:
+            files = files.unionByName(spark.read.format("binaryFile").load(empty))
+        sink(convert_df(files, options), number)  # contents are read here, whole as they are now
 
     trigger = {"availableNow": True} if once else {"processingTime": "300 milliseconds"}
     return watched(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -70,6 +70,37 @@ def test_watch_converts_backlog(spark, inbox, tmp_path):
     assert sorted(got) == ["Other", "Re: same", "Same"]
 
 
+def test_watch_waits_for_a_file_that_is_being_copied(spark, tmp_path):
+    import threading
+    import time
+
+    root, got = str(tmp_path / "in"), []
+    _mail(root, "odd [1] é.eml", "Odd")
+    open(os.path.join(root, "slow [1] é.eml"), "w").close()
+
+    def copy():
+        with open(os.path.join(root, "slow [1] é.eml"), "a") as f:
+            time.sleep(0.2)
+            f.write(MAIL.format("Slow", "begin"))
+            for k in range(100):
+                f.write(f"part {k}\n")
+                f.flush()
+                time.sleep(0.1)
+
+    copying = threading.Thread(target=copy)
+    copying.start()
+    q = watch.watch(spark, root, lambda df, n: got.extend(df.select("subject", "body").collect()), checkpoint=str(tmp_path / "cp"), once=True)
+    assert q.awaitTermination(90) in (True, None)
+    copying.join()
+    found = {r.subject: r.body for r in got}
+    assert sorted(found) == ["Odd", "Slow"] and len(got) == 2 and found["Odd"] == "hello" and "part 99" in found["Slow"]
+
+
+def test_settled_leaves_out_missing_files(spark, inbox):
+    a = os.path.join(inbox, "a.eml")
+    assert watch.settled(spark, [f"file:{a}", f"file:{inbox}/gone.eml"]) == [f"file:{a}"]
+
+
 def test_dedupe_is_a_fold(spark):
     rows = [(1, t, k) for k, t in enumerate([0, 3, 6, 11, 11, 20])]
     df = spark.createDataFrame(rows, "k int, at long, id int")
