@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 GAP, SYMBOLS, HAS_WORD = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 #: Hash buckets of n-grams, added to each bucket's count, least mean log ratio of a document that stays.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.5
-#: Documents that stand for the trusted target, at most (smallest hash of the id first).
-TRUSTED_DOCS = 20_000
 #: Base rules: least words, and the most per cent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -117,23 +115,22 @@ def log_ratios(raw: DataFrame, trusted: DataFrame) -> list[float]:
     return [(math.log(a + SMOOTHING) - low[0]) - (math.log(b + SMOOTHING) - low[1]) for a, b in zip(*counts, strict=True)]
 
 
-def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str = "quality", limit: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of labelled good documents: all of them up to `limit`, beyond that those of smallest hash."""
-    good = labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("_trusted")).dropna().distinct()
-    return good.orderBy(F.xxhash64(F.lit(9), "_trusted"), "_trusted").limit(limit)
+def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """Ids of all labelled good documents."""
+    return labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("_trusted")).dropna().distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of `docs` and a struct `_rules`: the statistics, base_failed, score and kept.
 
     Raw counts cover every document; the trusted counts cover the documents
-    whose id `labels` marks as good, TRUSTED_DOCS of them at most, which bounds
-    what is broadcast. A null or empty text has no words and fails the base
+    whose id `labels` marks as good, all of them; texts meet ids in a
+    shuffle, so nothing that is broadcast grows. A null or empty text has no words and fails the base
     rules. A document without n-grams scores 0. Without trusted documents
     every score is 0. Repeated rows are judged alike; an empty table gives an
     empty one.
     """
-    trusted = docs.join(F.broadcast(trusted_ids(labels, id_col=id_col)), F.col(id_col) == F.col("_trusted"), "left_semi")
+    trusted = docs.join(trusted_ids(labels, id_col=id_col).hint("shuffle_hash"), F.col(id_col) == F.col("_trusted"), "left_semi")
     ratios = log_ratios(bucket_counts(docs, text_col=text_col), bucket_counts(trusted, text_col=text_col))
     # One row of BUCKETS numbers, read as a scalar subquery: each task gets it once, and nothing is joined.
     table = docs.sparkSession.createDataFrame([(ratios,)], "_ratio array<double>").scalar()

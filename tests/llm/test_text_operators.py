@@ -42,6 +42,11 @@ def test_quality_ratio_separates_and_filters(spark):
     assert set(range(40)) - ids == {x.doc_id for x in rows.filter("_rules.base_failed").collect() if x.doc_id < 40} and not ids & set(range(40, 80))
 
 
+def test_all_labelled_good_documents_are_trusted(spark):
+    good = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.trusted_ids(good.union(good).union(spark.sql("SELECT 40000L, 0"))).count() == 30_000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mixing(spark, seed):
     r = random.Random(seed)
