@@ -29,8 +29,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that recur anywhere; characters cut in the middle go whole. n_chars follows the text."""
     removed = suffix_family.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    texts = removed.withColumn("text", F.when(F.size("spans") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text))
+    text = F.col("kept").cast("string")
+    swap = lambda x, *pairs: swap(F.replace(x, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else x
+    # Replacement characters of the text itself are written \1b meanwhile, so those that are dropped are of cut characters.
+    own = F.make_valid_utf8(swap(text, ("\1", "\1a"), ("�", "\1b")))
+    texts = removed.withColumn("text", F.when(F.size("spans") > 0, swap(own, ("�", ""), ("\1b", "�"), ("\1a", "\1"))).otherwise(F.make_valid_utf8(text)))
     return texts.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("carried")[c].alias(c) for c in docs.columns))
 
 

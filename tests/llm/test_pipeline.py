@@ -117,3 +117,13 @@ def test_stages(spark, corpus):
         ids = enc.encode_ordinary(text[x.doc_id])
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text[x.doc_id].encode()))
     assert sorted(map(tuple, cp.run(spark, folder).collect())) == sorted(map(tuple, out))
+
+
+def test_replacement_characters_of_the_text_stay(spark):
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefé ") for _ in range(500))
+    rows = [(1, f"one \ufffd\1b \1a \1 start {passage} end \ufffd1"), (2, f"two é\ufffdé{passage}è\ufffd\ufffd x"), (3, f"three \ufffd ê{passage}é four"), (4, "no passage \ufffd \1b \1")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = cp.substring_dedup(spark, docs, "").collect()
+    assert sorted((x.doc_id, x.text) for x in got) == cut(rows) and all(x.n_chars == len(x.text) for x in got)
+    assert [t.count("\ufffd") for _, t in cut(rows)] == [2, 3, 1, 1]
