@@ -15,6 +15,10 @@ from postmill.llm import bpe, minhash_forest, mixing, quality_rules, suffix_fami
 from postmill.llm.storage import materialize
 
 
+#: Bytes of a string that substring removal looks for, so that a repeated passage of over 50 words has one: words of four letters on average.
+PASSAGE_BYTES = 250
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
@@ -27,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that recur anywhere; characters cut in the middle go whole. n_chars follows the text."""
-    removed = suffix_family.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    """Texts without the strings of PASSAGE_BYTES that recur anywhere; characters cut in the middle go whole. n_chars follows the text."""
+    removed = suffix_family.remove_repeats(docs, match=PASSAGE_BYTES, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     text = F.col("kept").cast("string")
     swap = lambda x, *pairs: swap(F.replace(x, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else x
     # Replacement characters of the text itself are written \1b meanwhile, so those that are dropped are of cut characters.
