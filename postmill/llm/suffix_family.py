@@ -20,9 +20,11 @@ MATCH - x bytes to the right and x bytes to the left: equal classes in both
 arrays. At the end all levels merge, so every pair of segments of a core has
 met in one scan.
 
-A core with more than HOT_SEGMENTS different segments is not indexed in one
-task: its strings are hashed (128 bits) and counted in Spark, which combines
-them before the shuffle.
+The segments of one core are dealt out to tasks in chunks of CHUNK_SEGMENTS,
+each a family of its own. Strings that recur only in different chunks are found
+afterwards: the families of a core of several chunks hand on the names (128-bit
+hashes) of their strings, which are counted in Spark, combined before the
+shuffle. So no core, however frequent, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from postmill.llm.storage import materialize
 MATCH, GRAM = 400, 32
 #: Text bytes that are sampled at a time; segments that make a batch; bytes of a family after which it ends with its core.
 SLICE, BATCH, FAMILY_BYTES = 1 << 20, 2048, 32 << 20
-HOT_SEGMENTS = 50_000
+#: Segments of one core in one task, about.
+CHUNK_SEGMENTS = 8192
 _PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -97,16 +100,16 @@ def _segments(match: int, gram: int):
 
 
 def _cut(match: int):
-    """From (_text, parts): a row with its bytes for each part."""
+    """From (_text, parts): a row (core, chunk, seg, n, near, block, wide, bytes) for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list] = {k: [] for k in ("core", "seg", "n", "near", "block", "bytes")}
+            held: dict[str, list] = {k: [] for k in (*_PART, "bytes")}
             size = 0
             for text, parts in zip(batch.column(0), batch.column(1), strict=True):
                 whole = text.as_buffer()
                 for x in parts.as_py() or ():
-                    for k in ("core", "seg", "n", "near", "block"):
+                    for k in _PART:
                         held[k].append(x[k])
                     held["bytes"].append(whole[x["start"] : x["start"] + x["n"] + match - 1].to_pybytes())
                     size += match + x["n"]
@@ -119,8 +122,12 @@ def _cut(match: int):
     return run
 
 
+#: What is known of a segment, with its place among tasks; `wide`: its core has several chunks.
+_PART = {"core": pa.int64(), "chunk": pa.int32(), "seg": pa.int64(), "n": pa.int32(), "near": pa.int32(), "block": pa.int32(), "wide": pa.bool_()}
+
+
 def _packed(x: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x["core"], pa.int64()), pa.array(x["seg"], pa.int64()), *(pa.array(x[k], pa.int32()) for k in ("n", "near", "block")), pa.array(x["bytes"], pa.binary())], names=list(x))
+    return pa.RecordBatch.from_arrays([*(pa.array(x[k], kind) for k, kind in _PART.items()), pa.array(x["bytes"], pa.binary())], names=[*_PART, "bytes"])
 
 
 class Family:
@@ -200,49 +207,51 @@ class Family:
                     self.flags[order[k]][near[k] + n[k] - 1 - x] = True
 
 
+_SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+_NAMES = pa.list_(pa.struct([("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+
+
+def _names(text: bytes, n: int, near: int, match: int) -> pa.StructArray:
+    """The names of the n strings of a segment; strings at different distances from the anchor differ."""
+    v = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    h = [rolling.mix(rolling.windows(v, match, base) + np.arange(near + n - 1, near - 1, -1).astype(np.uint64)).view(np.int64) for base in (rolling.WORD_BASE, rolling.WORD_BASE_2)]
+    return pa.StructArray.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(h[0]), pa.array(h[1])], names=["k", "h1", "h2"])
+
+
 def _indexed(match: int, gram: int):
-    """From (core, seg, n, near, block, bytes), sorted by core: (core, seg, spans) of repeated strings."""
+    """From the rows of :func:`_cut`, sorted by core and chunk: (core, seg, spans, names), spans of strings repeated in the family, names in wide cores."""
 
-    def out(family: Family) -> pa.RecordBatch:
+    def out(family: Family, named: dict[int, pa.StructArray]) -> pa.RecordBatch:
         family.finish()
         spans = []
         for f in family.flags:
             edge = np.flatnonzero(np.diff(np.concatenate([[False], f, [False]]).astype(np.int8)))
             spans.append([{"low": int(a), "high": int(b) - 1} for a, b in edge.reshape(-1, 2)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in family.name], pa.int64()), pa.array([s for _, s in family.name], pa.int64()), pa.array(spans, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))], names=["core", "seg", "spans"]
-        )
+        lengths = [len(named[k]) if k in named else 0 for k in range(len(spans))]
+        flat = pa.concat_arrays([named[k] for k in sorted(named)]) if named else pa.array([], _NAMES.value_type)
+        names = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in family.name], pa.int64()), pa.array([s for _, s in family.name], pa.int64()), pa.array(spans, _SPANS), names.cast(_NAMES)], names=["core", "seg", "spans", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, core = Family(match, gram), [], None
+        family, rows, last = Family(match, gram), [], None
+        named: dict[int, pa.StructArray] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != core and family.size + len(rows) * 600 > FAMILY_BYTES:
+            for core, chunk, seg, n, near, block, wide, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (core, chunk) != last and family.size + len(rows) * 600 > FAMILY_BYTES:
                     family.add(rows)
-                    yield out(family)
-                    family, rows = Family(match, gram), []
-                core = row[0]
-                rows.append(row)
+                    yield out(family, named)
+                    family, rows, named = Family(match, gram), [], {}
+                last = (core, chunk)
+                if wide:
+                    named[len(family.n) + len(rows)] = _names(text, n, near, match)
+                rows.append((core, seg, n, near, block, text))
                 if len(rows) >= BATCH:
                     family.add(rows)
                     rows = []
         if rows:
             family.add(rows)
         if family.n:
-            yield out(family)
-
-    return run
-
-
-def _strings(match: int, gram: int):
-    """From the same rows: (core, seg, k, h1, h2), a row for each string of a segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for core, seg, n, near, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-                h = [rolling.mix(rolling.windows(v, match, base) + np.arange(near + n - 1, near - 1, -1).astype(np.uint64)).view(np.int64) for base in (rolling.WORD_BASE, rolling.WORD_BASE_2)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, core)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h[0]), pa.array(h[1])], names=["core", "seg", "k", "h1", "h2"])
+            yield out(family, named)
 
     return run
 
@@ -276,25 +285,27 @@ def _removals(match: int):
     return run
 
 
-def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram: int, hot: int = HOT_SEGMENTS) -> DataFrame:
+def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram: int) -> DataFrame:
     """(core, seg, spans) of the segments with repeated strings, from all occurrences of cores that recur."""
     distinct = materialize(
         occurrences.groupBy("core", "seg").agg(F.count("*").alias("times"), F.min(F.struct("_d", "_r", "start")).alias("at"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("block").alias("block")), "suffix-distinct"
     )
     several = materialize(distinct.groupBy("core").agg(F.count("*").alias("segments")).filter("segments > 1"), "suffix-several")
-    parts = distinct.join(several, "core").select("at._d", "at._r", F.struct("core", "seg", "at.start", "n", "near", "block").alias("part"), (F.col("segments") > hot).alias("hot"))
-    one_list = lambda p: p.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # noqa: E731  bounded by the document's own length
-    columns = "core long, seg long, n int, near int, block int, bytes binary"
+    chunks = F.ceil(F.col("segments") / CHUNK_SEGMENTS)
+    part = F.struct("core", F.pmod(F.xxhash64("seg"), chunks).cast("int").alias("chunk"), "seg", "at.start", "n", "near", "block", (chunks > 1).alias("wide"))
+    parts = distinct.join(several, "core").select("at._d", "at._r", part.alias("part")).groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
     # With columns that are not read here, the texts are shuffled as for the last join, so once in all.
     others = [c for c in keyed.columns if c not in ("_d", "_r", "_text")]
-    cut = lambda p: keyed.join(one_list(p), ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(_cut(match), columns)
-    found = cut(parts.filter("not hot")).repartition("core").sortWithinPartitions("core").mapInArrow(_indexed(match, gram), "core long, seg long, spans array<struct<low:int,high:int>>")
-    if parts.filter("hot").limit(1).count():
-        strings = cut(parts.filter("hot")).mapInArrow(_strings(match, gram), "core long, seg long, k int, h1 long, h2 long")
-        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
-        found = found.unionByName(strings.join(again, ["h1", "h2"]).groupBy("core", "seg").agg(F.collect_list(F.struct(F.col("k").alias("low"), F.col("k").alias("high"))).alias("spans")))
+    cut = keyed.join(parts, ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(_cut(match), "core long, chunk int, seg long, n int, near int, block int, wide boolean, bytes binary")
+    span = "array<struct<low:int,high:int>>"
+    indexed = cut.repartition("core", "chunk").sortWithinPartitions("core", "chunk").mapInArrow(_indexed(match, gram), f"core long, seg long, spans {span}, names array<struct<k:int,h1:long,h2:long>>")
+    found = materialize(indexed.filter("size(spans) > 0 or size(names) > 0"), "suffix-found")
+    strings = found.select("core", "seg", F.explode("names").alias("x")).select("core", "seg", "x.*")
+    again = materialize(strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2"), "suffix-again")
+    across = strings.join(again, ["h1", "h2"]).groupBy("core", "seg").agg(F.collect_list(F.struct(F.col("k").alias("low"), F.col("k").alias("high"))).alias("spans"))
+    # Equal segments are one in the index; all their strings are repeated.
     copied = distinct.filter("times > 1").select("core", "seg", F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))).alias("spans"))
-    return found.filter(F.size("spans") > 0).unionByName(copied)
+    return found.filter("size(spans) > 0").select("core", "seg", "spans").unionByName(across).unionByName(copied)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:

@@ -32,12 +32,12 @@ def substring(rows, window):
 
 def suffixes(rows, match):
     texts = [(t or "").encode() for _, t in rows]
-    n = Counter(t[k : k + match] for t in texts for k in range(len(t) - match + 1))
+    n = Counter(hash(t[k : k + match]) for t in texts for k in range(len(t) - match + 1))
     out = []
     for (i, _), t in zip(rows, texts):
         gone = bytearray(len(t))
         for k in range(len(t) - match + 1):
-            if n[t[k : k + match]] > 1:
+            if n[hash(t[k : k + match])] > 1:
                 gone[k : k + match] = b"\1" * match
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((i, len(t), sum(gone), spans, sha(bytes(c for c, g in zip(t, gone) if not g))))

@@ -46,9 +46,9 @@ def test_substring(spark, seed):
     same(got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)), substring(rows, 10))
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 50_000), (3, 1)])
-def test_suffixes(spark, seed, hot, monkeypatch):
-    monkeypatch.setattr(suffix_family.repeated_spans, "__kwdefaults__", {"hot": hot})
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 8192), (2, 8192), (3, 1), (4, 2)])
+def test_suffixes(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(suffix_family, "CHUNK_SEGMENTS", chunk)
     monkeypatch.setattr(suffix_family, "BATCH", 7)
     rows = corpus(seed) + [(None, "x" * 100), (9, "y"), (9, "y")]
     got = suffix_family.remove_repeats(frame(spark, rows), match=60, gram=8, carry=["source", "h"])
@@ -116,6 +116,7 @@ def test_components_of_a_chain(spark):
 
 def test_lattice(spark, monkeypatch):
     monkeypatch.setattr(lattice, "CHUNK", 16)
+    monkeypatch.setattr(lattice, "COUNTED", 24)
     r = np.random.default_rng(2)
     base = r.standard_normal((40, 32))
     vectors = [*base, *(base[0] + 0.05 * r.standard_normal((60, 32))), *(base[1] + 0.22 * r.standard_normal((20, 32))), 2 * base[3], base[4], base[4], base[4]]

@@ -46,7 +46,7 @@ def kept_by_rules(rows, good):
     return kept
 
 
-def cut(rows, match=400):
+def cut(rows, match=cp.PASSAGE_BYTES):
     texts = [t.encode() for _, t in rows]
     n = Counter(t[k : k + match] for t in texts for k in range(len(t) - match + 1))
     out = []
