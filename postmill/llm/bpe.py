@@ -7,6 +7,14 @@ recursion goes on until no pair of any word can merge. Decoding joins the
 (position, id) rows of whole documents with the vocabulary and aggregates the
 pieces in order of position.
 
+A recursion of one merge a round would be quadratic in the length of a word, so
+words are contracted in pieces of PIECE bytes, and borders are put right after:
+a sequence of tokens is what contraction of the whole word gives exactly if
+each two neighbours, contracted by themselves, give these two again (the first
+merge across a border would be the first one across it in the two alone). Where
+two neighbours do not, a window around them is contracted anew and its ends are
+looked at in turn; windows double, at last they are the whole word.
+
 Rank files are read on the driver (any readable path) and broadcast; their size
 is checked, so what is broadcast does not grow with the data.
 """
@@ -23,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RANK_FILE_BYTES = 64 << 20
-#: Text bytes that are turned into rows at a time, words that a task remembers, words in one recursive query.
-SLICE_BYTES, CACHE_WORDS, QUERY_WORDS = 2 << 20, 500_000, 100_000
-#: Longer words go through the query that contracts all occurrences of a pair at once.
-LONG_WORD = 64
+#: Text bytes that are turned into rows at a time, words (and pairs of tokens) that a task remembers, bytes in one recursive query.
+SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 2 << 20, 500_000, 1 << 20
+#: Bytes of a piece of a word; wider windows contract all occurrences of a pair in a round where that is provably the same.
+PIECE, WIDE = 64, 512
+#: Of a task's DuckDB. It may not spill: no local folder is written.
+MEMORY = "400MB"
 
 # State: one token list per word; every round lays the lists out as (word, position) rows.
 _SHORT_SQL = """
@@ -44,7 +54,7 @@ WITH RECURSIVE state(w, t) USING KEY (w) AS (
 SELECT w, t FROM state
 """
 
-# The same for long words. A merge is `simple` if no token made from its result has a smaller rank: contracting
+# The same for wide windows. A merge is `simple` if no token made from its result has a smaller rank: contracting
 # its other occurrences in the same round (left to right, without overlap) is then what the next rounds would do.
 _LONG_SQL = """
 WITH RECURSIVE state(w, t) USING KEY (w) AS (
@@ -100,7 +110,7 @@ class BpeEngine:
                     harder.update(x for x in (a, b) if x > r)
         self.byte_id = np.array([rank[bytes([i])] for i in range(256)], dtype=np.int32)
         # A rank file's ranks are its token ids. Pieces are held as Latin-1 text, one character a byte.
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": MEMORY, "temp_directory": ""})
         table = pa.table({"pair": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "rank": np.array(made, np.int32), "simple": [m not in harder for m in made]})
         self.con.register("given", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -108,7 +118,9 @@ class BpeEngine:
         self.con.register("given", pa.table({"id": pa.array(rank.values(), pa.int32()), "piece": [t.decode("latin-1") for t in rank]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM given")
         self.con.unregister("given")
+        self.token = {r: t for t, r in rank.items()}
         self.cache: dict[str, bytes] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
 
     def _contract(self, words: list[bytes], sql: str) -> list[np.ndarray]:
         lens = np.array([len(w) for w in words])
@@ -124,28 +136,98 @@ class BpeEngine:
             found[w] = flat[ends[k] : ends[k + 1]]
         return found
 
+    def contracted(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word, contracted as a whole."""
+        found: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        for wide in (False, True):
+            some = [k for k, w in enumerate(words) if (len(w) > WIDE) == wide]
+            for a, b in slices([words[k] for k in some], QUERY_BYTES):
+                for k, ids in zip(some[a:b], self._contract([words[k] for k in some[a:b]], _LONG_SQL if wide else _SHORT_SQL), strict=True):
+                    found[k] = ids
+        return found
+
+    def in_pieces(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word, from its pieces; most words are one."""
+        cut = [range(0, len(w), PIECE) for w in words]
+        pieces = iter(self.contracted([w[k : k + PIECE] for w, at in zip(words, cut, strict=True) for k in at]))
+        done: list[np.ndarray] = []
+        open_: dict[int, tuple[list[int], list[int]]] = {}  # of words of several pieces: tokens, and the places of doubtful borders
+        for w, at in enumerate(cut):
+            parts = [next(pieces) for _ in at]
+            done.append(parts[0])
+            if len(parts) > 1:
+                open_[w] = np.concatenate(parts).tolist(), np.cumsum([len(p) for p in parts[:-1]]).tolist()
+        width = 2
+        while open_:
+            self._judge({(ids[k - 1], ids[k]) for ids, doubtful in open_.values() for k in doubtful})
+            windows = []
+            for w, (ids, doubtful) in list(open_.items()):
+                wrong = [k for k in doubtful if not self.stable[ids[k - 1], ids[k]]]
+                if not wrong:
+                    done[w] = np.array(ids, np.int32)
+                    del open_[w]
+                    continue
+                end = 0
+                for k in wrong:  # windows do not overlap; what they leave out comes in the next turn
+                    if k - 1 >= end:
+                        low, end = max(end, k - width), min(len(ids), k + width)
+                        windows.append((w, low, end))
+                open_[w] = ids, wrong
+            news = self.contracted([b"".join(self.token[x] for x in open_[w][0][a:b]) for w, a, b in windows])
+            made: dict[int, list[tuple[int, int, list[int]]]] = {}
+            for (w, a, b), new in zip(windows, news, strict=True):
+                made.setdefault(w, []).append((a, b, new.tolist()))
+            for w, parts in made.items():
+                ids, wrong = open_[w]
+                out: list[int] = []
+                edges: set[int] = set()
+                last = 0
+                left = iter([*wrong, len(ids) + 1])
+                k = next(left)
+                for a, b, new in [*parts, (len(ids), len(ids), [])]:
+                    while k < a:  # doubtful borders outside of windows
+                        if k > last:
+                            edges.add(len(out) + k - last)
+                        k = next(left)
+                    out += ids[last:a]
+                    edges.add(len(out))
+                    out += new
+                    edges.add(len(out))
+                    while k < b:
+                        k = next(left)
+                    last = b
+                open_[w] = out, sorted(e for e in edges if 0 < e < len(out))
+            width *= 2
+        return done
+
+    def _judge(self, pairs: set[tuple[int, int]]) -> None:
+        """Remember of each pair of tokens whether it stays as it is."""
+        if len(self.stable) + len(pairs) > CACHE_WORDS:
+            self.stable.clear()
+        new = [p for p in pairs if p not in self.stable]
+        for p, ids in zip(new, self.contracted([self.token[a] + self.token[b] for a, b in new]), strict=True):
+            self.stable[p] = ids.tolist() == list(p)
+
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not cached."""
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(words)
-        short, long = [], []
+        rest = []
         for w in new:
             b = w.encode("utf-8", "replace")
             if (i := self.rank.get(b)) is not None:
                 self.cache[w] = np.int32(i).tobytes()
             else:
-                (short if len(b) <= LONG_WORD else long).append((w, b))
-        for part, sql, step in ((short, _SHORT_SQL, QUERY_WORDS), (long, _LONG_SQL, 1000)):
-            for k in range(0, len(part), step):
-                for (w, _), ids in zip(part[k : k + step], self._contract([b for _, b in part[k : k + step]], sql), strict=True):
-                    self.cache[w] = ids.tobytes()
+                rest.append((w, b))
+        for (w, _), ids in zip(rest, self.in_pieces([b for _, b in rest]), strict=True):
+            self.cache[w] = ids.tobytes()
 
     def close(self) -> None:
         """Give back all that is held; workers outlive tasks."""
         self.con.close()
-        self.cache, self.rank = {}, {}
+        self.cache, self.rank, self.token, self.stable = {}, {}, {}, {}
         gc.collect()
         pa.default_memory_pool().release_unused()
 
@@ -166,7 +248,7 @@ class BpeEngine:
 
 
 def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `limit` characters each, one row at least."""
+    """Ranges of texts with about `limit` characters or bytes each, one at least."""
     start = held = 0
     for k, t in enumerate(texts):
         held += len(t or "")
