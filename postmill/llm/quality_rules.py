@@ -22,6 +22,8 @@ GAP, SYMBOLS, HAS_WORD = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.5
 #: Base rules: least words, and the most per cent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Trusted ids are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,23 +56,16 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, _let(hashes, counted)).otherwise(F.lit(0).cast("long"))
 
 
-def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """`docs` and a column `_words` (array of words) and `_stats`, a struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
-    words = F.col("_words")
-    # The condition is always true. It keeps the optimizer from moving filters below this column, which would split the
-    # text again for each word.
-    split = F.when(F.monotonically_increasing_id() >= 0, words_of(F.col(text_col)))
-    return docs.withColumn("_words", split).withColumn(
-        "_stats",
-        F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _repeat_words(words).alias("n_repeat_words"),
-        ),
+def statistics(text: Column, words: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text with these words."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(HAS_WORD))
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(words).alias("n_repeat_words"),
     )
 
 
@@ -82,37 +77,33 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def _kinds(words: Column) -> list[Column]:
-    """Three arrays of buckets: of words, of word ends and of word pairs."""
-    return [
-        F.transform(words, lambda w: _bucket(w)),
-        F.transform(words, lambda w: _bucket(F.lit("end"), F.right(w, F.lit(3)))),
-        F.transform(words, lambda w, i: _bucket(w, F.coalesce(F.get(words, i + 1), F.lit("")))),
-    ]
+def _buckets(word: Column, after: Column) -> list[Column]:
+    """The buckets of a word, of its end, and of the pair that it makes with the word after it."""
+    return [_bucket(word), _bucket(F.lit("end"), F.right(word, F.lit(3))), _bucket(word, F.coalesce(after, F.lit("")))]
 
 
-def bucket_counts(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(bucket, n) over all n-grams of all texts; what each task shuffles is a row per bucket at most."""
-    words = texts.select(words_of(F.col(text_col)).alias("_words"))
-    return words.select(F.explode(F.concat(*_kinds(F.col("_words")))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, raw, trusted) from (text, good): n-grams of all texts, and of those marked good.
+
+    One pass; what each task shuffles is a row per bucket at most.
+    """
+    words = F.when(F.monotonically_increasing_id() >= 0, words_of(F.col("text")))  # always true; see `judge`
+    pairs = rows.select("good", words.alias("w")).select("good", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("after"))).alias("p"))
+    grams = pairs.select("good", F.explode(F.array(*_buckets(F.col("p.word"), F.col("p.after")))).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("trusted"))
 
 
-def log_ratios(raw: DataFrame, trusted: DataFrame) -> list[float]:
-    """The log ratio of each bucket from two tables of counts, a list of BUCKETS numbers; all 0 if either is empty."""
+def log_ratios(counts: DataFrame) -> list[float]:
+    """The log ratio of each bucket from their counts, a list of BUCKETS numbers; all 0 without trusted or raw n-grams."""
     import math
 
-    total: list[float] = []
-    counts: list[list[float]] = []
-    for table in (trusted, raw):
-        n = [0.0] * BUCKETS
-        for row in table.collect():  # a row per bucket: bounded by BUCKETS whatever the corpus
-            n[row["bucket"]] = float(row["n"])
-        counts.append(n)
-        total.append(sum(n))
-    if not all(total):
+    raw, trusted = [0] * BUCKETS, [0] * BUCKETS
+    for row in counts.collect():  # a row per bucket: bounded by BUCKETS whatever the corpus
+        raw[row["bucket"]], trusted[row["bucket"]] = row["raw"], row["trusted"]
+    if not (sum(raw) and sum(trusted)):
         return [0.0] * BUCKETS
-    low = [math.log(t + SMOOTHING * BUCKETS) for t in total]
-    return [(math.log(a + SMOOTHING) - low[0]) - (math.log(b + SMOOTHING) - low[1]) for a, b in zip(*counts, strict=True)]
+    low = [math.log(sum(n) + SMOOTHING * BUCKETS) for n in (trusted, raw)]
+    return [(math.log(a + SMOOTHING) - low[0]) - (math.log(b + SMOOTHING) - low[1]) for a, b in zip(trusted, raw, strict=True)]
 
 
 def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
@@ -120,27 +111,36 @@ def trusted_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str =
     return labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("_trusted")).dropna().distinct()
 
 
+def _flagged(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(id, text) with `good`: whether the id is trusted. Up to BROADCAST_IDS ids are broadcast; more meet the texts in a shuffle."""
+    few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marks = F.broadcast(trusted) if few else trusted.hint("shuffle_hash")
+    return rows.join(marks, rows["id"] == marks["_trusted"], "left").select("text", F.col("_trusted").isNotNull().alias("good"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of `docs` and a struct `_rules`: the statistics, base_failed, score and kept.
+    """All columns of `docs`, whatever their names, and a struct `_rules`: the statistics, base_failed, score and kept.
 
     Raw counts cover every document; the trusted counts cover the documents
-    whose id `labels` marks as good, all of them; texts meet ids in a
-    shuffle, so nothing that is broadcast grows. A null or empty text has no words and fails the base
-    rules. A document without n-grams scores 0. Without trusted documents
-    every score is 0. Repeated rows are judged alike; an empty table gives an
-    empty one.
+    whose id `labels` marks as good, all of them. A null or empty text has no
+    words and fails the base rules. A document without n-grams scores 0.
+    Without trusted documents every score is 0. Repeated rows are judged alike,
+    and count as often as they are there; a document of just `threshold` stays;
+    an empty table gives an empty one. A column `_rules` of `docs` is replaced.
     """
-    trusted = docs.join(trusted_ids(labels, id_col=id_col).hint("shuffle_hash"), F.col(id_col) == F.col("_trusted"), "left_semi")
-    ratios = log_ratios(bucket_counts(docs, text_col=text_col), bucket_counts(trusted, text_col=text_col))
+    row = [c for c in docs.columns if c != "_rules"]
+    text = F.col(f"`{text_col}`")
+    ratios = log_ratios(bucket_counts(_flagged(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), trusted_ids(labels, id_col=id_col))))
     # One row of BUCKETS numbers, read as a scalar subquery: each task gets it once, and nothing is joined.
-    table = docs.sparkSession.createDataFrame([(ratios,)], "_ratio array<double>").scalar()
-    judged = statistics(docs, text_col=text_col).withColumn("_ratio", table)
-    zero, ratio = F.lit(0.0), F.col("_ratio")
-    total = sum((F.aggregate(kind, zero, lambda a, b: a + F.get(ratio, b)) for kind in _kinds(F.col("_words"))), zero)
-    n = 3 * F.size("_words")
-    score = F.when(n > 0, total / n).otherwise(zero)
-    stats = F.col("_stats")
-    return judged.withColumn("_score", score).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct("_stats.*", base_failed(stats).alias("base_failed"), F.col("_score").alias("score"), (~base_failed(stats) & (F.col("_score") >= threshold)).alias("kept")).alias("_rules"),
-    )
+    table = docs.sparkSession.createDataFrame([(ratios,)], "ratio array<double>").scalar()
+    # The condition is always true. It keeps the optimizer from moving filters below the words, which would split the
+    # text again for each use.
+    split = F.when(F.monotonically_increasing_id() >= 0, words_of(text))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), text.alias("text"), split.alias("words"), table.alias("ratio"))
+    words, ratio, zero = F.col("words"), F.col("ratio"), F.lit(0.0)
+    each = F.transform(words, lambda w, i: sum((F.get(ratio, b) for b in _buckets(w, F.get(words, i + 1))), zero))
+    score = F.when(F.size(words) > 0, F.aggregate(each, zero, lambda a, b: a + b) / (3 * F.size(words))).otherwise(zero)
+    judged = held.select("row", statistics(F.col("text"), words).alias("stats"), score.alias("score"))
+    failed = base_failed(F.col("stats"))
+    verdict = F.struct("stats.*", failed.alias("base_failed"), F.col("score").alias("score"), (~failed & (F.col("score") >= threshold)).alias("kept"))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in row], verdict.alias("_rules"))
