@@ -24,6 +24,23 @@ def deal(rows: DataFrame, key: str, chunk: int) -> DataFrame:
     return dealt.select(*rows.columns, "_x.i", "_x.j", "_x.side")
 
 
+def deal_strays(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    """`rows` (with columns node, few, many and a boolean astray) with columns i and j: the strays of a group against all of it.
+
+    `few` and `many` are the sizes of the group's strays and of the group. A
+    stray meets every member in one pair (i, j) of a chunk of strays and a
+    chunk of members; a member that is no stray is copied once for each chunk
+    of strays, not for each chunk of the group.
+    """
+    of = lambda n: F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("node"), of(n).cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), of(n) - 1)
+    as_member = F.transform(every("few"), lambda i: F.struct(i.alias("i"), mine("many").alias("j"), F.lit(False).alias("own")))
+    as_stray = F.transform(every("many"), lambda j: F.struct(mine("few").alias("i"), j.alias("j"), F.lit(True).alias("own")))
+    dealt = rows.withColumn("_x", F.explode(F.when(F.col("astray"), F.concat(as_member, as_stray)).otherwise(as_member)))
+    return dealt.select(*rows.columns, "_x.i", "_x.j", "_x.own")
+
+
 def gathered(rows: DataFrame, key: str) -> DataFrame:
     """Dealt `rows` with those of one group and pair of chunks next to each other."""
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")

@@ -11,8 +11,9 @@ the data are sparse; larger regions are split by the next minimum, and give
 the neighbours in the order besides. Where even whole paths are shared by more,
 each node gets the next few in the order and the first of the region, and the
 region's members are kept: once components are known, members outside the
-region's largest component are compared with all of the others, in pairs of
-chunks, so that what is handed on are links, not pairs. The members of a run of
+region's largest component are compared with all of the others, chunks of
+strays with chunks of members, so that what is handed on are links, not pairs,
+and a member is copied only once for each chunk of strays. The members of a run of
 whole paths that touches the end of a task's range are kept likewise, as the
 run may go on in the next task.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import rolling
 from postmill.llm.components import connected_components
-from postmill.llm.dealing import deal, gathered, groups
+from postmill.llm.dealing import deal_strays, gathered, groups
 from postmill.llm.storage import materialize
 
 SHINGLE, PERCENT = 5, 75
@@ -173,21 +174,25 @@ def _sets(shingle: int):
 
 
 def _stray_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted (region, i, j, node, component, astray, shingles): a link of each stray to every other component that it has one with."""
+    """From sorted (region, i, j, node, component, own, shingles): a link of each stray (own) to every other component that it has one with."""
     for g in groups(batches, ["region", "i", "j"]):
-        node, of, astray = g["node"].to_numpy(), g["component"].to_numpy(), np.flatnonzero(g["astray"].to_numpy(zero_copy_only=False))
+        node, of, own = g["node"].to_numpy(), g["component"].to_numpy(), g["own"].to_numpy(zero_copy_only=False)
+        strays, member = np.flatnonzero(own), np.flatnonzero(~own)
+        if not len(strays) or not len(member):
+            continue
         sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
-        n = np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate([sets[k] for k in member]), return_inverse=True)
+        n = np.array([len(sets[k]) for k in member])
         at = np.cumsum(n) - n
-        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(len(known), np.int32)
         found: set[tuple[int, int]] = set()
-        for k in astray:
-            mine = flat[at[k] : at[k] + n[k]]
+        for k in strays:
+            place = np.searchsorted(known, sets[k])
+            mine = place[(place < len(known)) & (known[np.minimum(place, len(known) - 1)] == sets[k])]
             mark[mine] = 1
             both = np.add.reduceat(mark[flat], at)
             mark[mine] = 0
-            other = np.flatnonzero((100 * both >= PERCENT * (n + n[k] - both)) & (of != of[k]))
+            other = member[(100 * both >= PERCENT * (n + len(sets[k]) - both)) & (of[member] != of[k])]
             for x in other[np.unique(of[other], return_index=True)[1]]:
                 found.add((min(int(node[k]), int(node[x])), max(int(node[k]), int(node[x]))))
         if found:
@@ -251,10 +256,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if rest.limit(1).count():
         known = materialize(connected_components(links), "forest-components")
     members = scanned.filter("b is null").select(F.col("x").alias("region"), "a").distinct()
-    placed = members.join(known.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    largest = placed.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = placed.join(largest.filter("parts > 1"), "region").select("region", F.col("a").alias("node"), "component", (F.col("component") != F.col("main.component")).alias("astray"))
-    met = gathered(deal(mixed, "region", CHUNK).join(sets, "node"), "region").select("region", "i", "j", "node", "component", "astray", "shingles")
+    placed = materialize(members.join(known.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a")), "forest-members")
+    sums = placed.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("many"))
+    # Written, so that the join shuffles both sides and Spark can split a partition of a frequent region.
+    mixed = materialize(sums.filter("parts > 1").select("region", F.col("main.component").alias("main"), "many", (F.col("many") - F.col("main.m")).alias("few")), "forest-mixed")
+    strays = placed.join(mixed, "region").select("region", F.col("a").alias("node"), "component", "few", "many", (F.col("component") != F.col("main")).alias("astray"))
+    met = gathered(deal_strays(strays, "region", CHUNK).join(sets, "node"), "region").select("region", "i", "j", "node", "component", "own", "shingles")
     more = materialize(met.mapInArrow(_stray_links, "a long, b long").distinct(), "forest-links")
     if more.limit(1).count():
         known = materialize(connected_components(links.union(more)), "forest-components")
@@ -268,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that :func:`near_duplicates` keeps, with all their columns; of rows that share an id, one.
+    """The rows of `docs` that :func:`near_duplicates` keeps, with all their columns, whatever their names; of rows that share an id, one.
 
     Rows without words are linked with nothing and stay, one for each id.
     """
@@ -279,10 +286,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def listed(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40))))
-    stay = named.join(listed(gone), F.col("_d") == F.col("_gone"), "left_anti")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+    named = docs.select(name.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay = named.join(listed(gone), F.col("d") == F.col("_gone"), "left_anti")
     if twice.limit(1).count():
         some = listed(twice)
-        stay = stay.join(some, F.col("_d") == F.col("_twice"), "left_anti").unionByName(stay.join(some, F.col("_d") == F.col("_twice"), "left_semi").dropDuplicates(["_d"]))
-    return stay.drop("_d")
+        stay = stay.join(some, F.col("d") == F.col("_twice"), "left_anti").unionByName(stay.join(some, F.col("d") == F.col("_twice"), "left_semi").dropDuplicates(["d"]))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
