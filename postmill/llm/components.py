@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
-Each round is two joins with pre-aggregated minima; a hub's links are never
-gathered in one task. Rounds are written tables, so a lost executor costs a
+Each round is two joins with pre-aggregated minima. Those of the first, in
+which a hub has many links, are written, so that Spark shuffles both sides and
+can split the partition of a hub. Rounds are written tables, so a lost executor costs a
 re-read. The number of rounds grows with the logarithm of the longest chain.
 """
 
@@ -23,7 +24,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
@@ -31,6 +32,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         new = materialize(pairs.filter("u > v").distinct(), "components")
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(held)
+        discard(least)
         held = new
         if now == state:
             break

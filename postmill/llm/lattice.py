@@ -10,8 +10,11 @@ Cells are counted as narrow rows first. Only cells in which two vectors meet
 get the vectors; there every pair is verified by its cosine in double
 precision. A cell hands on links, or, if it is large, a spanning forest of
 them, so a group of copies gives rows in proportion to its size, not to its
-square. Cells and components of over CHUNK vectors are dealt out in pairs of
-chunks. Direct links are then counted within components, block by block.
+square. Cells of over CHUNK vectors are dealt out in pairs of chunks. Direct
+links are then counted within components, block by block; components of over
+COUNTED vectors are dealt out likewise, each vector once for each chunk. Links
+of a group of m near copies are of the order of m * m, so counting them is, too;
+equal vectors count as one with a multiplicity.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from postmill.llm.storage import materialize
 COSINE = 0.95
 #: Tables, blocks of eight dimensions, neighbouring cells probed in each block, and the scale of the projections.
 TABLES, BLOCKS, PROBES, SCALE = 12, 2, 4, 0.62
-#: Vectors of one cell or component that one task compares at once; cells up to SMALL give their links as they are.
+#: Vectors of one cell that one task compares at once; cells up to SMALL give their links as they are.
 CHUNK, SMALL = 2048, 16
+#: Of a component: vectors, and their bytes, that make a chunk; a task compares two. Rows that are compared at a time.
+COUNTED, COUNTED_BYTES, BLOCK = 8192, 16 << 20, 1024
 
 
 def _roots() -> np.ndarray:
@@ -167,6 +172,11 @@ def _pairs(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
 
+def _tally(x: np.ndarray, y: np.ndarray, times: np.ndarray, cosine: float) -> np.ndarray:
+    """For each row of `x` the vectors that rows of `y` stand for and that it is linked with, a block at a time."""
+    return np.concatenate([((x[k : k + BLOCK] @ y.T >= cosine) @ times.astype(np.float64)).astype(np.int64) for k in range(0, len(x), BLOCK)] or [np.zeros(0, np.int64)])
+
+
 def _counted(cosine: float):
     """From sorted (component, i, j, side, node, times, raw): (node, n), the vectors of the other chunk that each is linked with."""
 
@@ -176,13 +186,11 @@ def _counted(cosine: float):
             u = units(g["raw"].to_pylist())
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if g["i"][0] == g["j"][0]:
-                n = ((u @ u.T >= cosine) * times[None, :]).sum(1)
-                out, counts = node, n - times * (np.einsum("ij,ij->i", u, u) >= cosine)
+                out, counts = node, _tally(u, u, times, cosine) - times * (np.einsum("ij,ij->i", u, u) >= cosine)
             else:
-                near = u[left] @ u[right].T >= cosine
                 out = np.concatenate([node[left], node[right]])
-                counts = np.concatenate([(near * times[right][None, :]).sum(1), (near * times[left][:, None]).sum(0)])
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(counts.astype(np.int64))], names=["node", "n"])
+                counts = np.concatenate([_tally(u[left], u[right], times[right], cosine), _tally(u[right], u[left], times[left], cosine)])
+            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(counts)], names=["node", "n"])
 
     return run
 
@@ -207,7 +215,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     links = gathered(meeting, "cell").select("cell", "i", "j", "side", "node", "own", "raw").mapInArrow(_linked(cosine), "a long, b long")
     known = materialize(connected_components(links), "lattice-components")
     members = nodes.join(known, "node").select("component", "node", "times", "raw")
-    counted = gathered(deal(members, "component", CHUNK), "component").select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(_counted(cosine), "node long, n long")
+    widest = nodes.agg(F.max(F.octet_length("raw"))).first()[0] or 8
+    chunk = max(1, min(COUNTED, COUNTED_BYTES // widest))
+    counted = gathered(deal(members, "component", chunk), "component").select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(_counted(cosine), "node long, n long")
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     found = nodes.join(known, "node", "left").join(degree, "node", "left").select("raw", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"))
     result = clean.join(found, "raw", "left").select(F.col("_v").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "_v").alias("component_id"))
