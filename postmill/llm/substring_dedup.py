@@ -157,12 +157,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = materialize(found.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h"), "substring-recurring")
     runs = materialize(found.join(shared, "h"), "substring-shared")
     distinct = materialize(runs.groupBy("h", "seg").agg(F.min(F.struct("_d", "_r", "pos")).alias("at"), F.first("n").alias("n")), "substring-distinct")
-    several = distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    # These two are written for the same reason.
+    several = materialize(distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "substring-several")
     parts = distinct.join(several, "h").select("at._d", "at._r", F.struct("h", "seg", "at.pos", "n").alias("part"))
     wanted = parts.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
     # With _id, which is not read here, the texts are shuffled as for the last join, so once in all.
-    hashed = keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int")
-    counted = hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low")
+    hashed = materialize(keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int"), "substring-windows")
+    counted = materialize(hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low"), "substring-counted")
     early = hashed.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
     first = distinct.select("h", "seg", F.col("at._d").alias("_d"))
     none = F.lit(None).cast("array<int>")
