@@ -7,6 +7,9 @@ everything before it.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +19,18 @@ _LOCAL_ROOT: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: the session's checkpoint folder, or one of our own where none is set."""
+    """The shared folder: the session's checkpoint folder. A session of one machine may have none and gets one of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
-    if not root:  # a local run, such as a test
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_ROOT.setdefault(app, tempfile.mkdtemp(prefix="postmill-"))
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _LOCAL_ROOT.setdefault(spark.sparkContext.applicationId, "")
+        if not root:
+            root = _LOCAL_ROOT[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="postmill-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root.rstrip("/")
 
 
