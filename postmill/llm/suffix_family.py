@@ -299,13 +299,16 @@ def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram
     cut = keyed.join(parts, ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(_cut(match), "core long, chunk int, seg long, n int, near int, block int, wide boolean, bytes binary")
     span = "array<struct<low:int,high:int>>"
     indexed = cut.repartition("core", "chunk").sortWithinPartitions("core", "chunk").mapInArrow(_indexed(match, gram), f"core long, seg long, spans {span}, names array<struct<k:int,h1:long,h2:long>>")
+    # Equal segments are one in the index; all their strings are repeated.
+    copied = distinct.filter("times > 1").select("core", "seg", F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))).alias("spans"))
+    within = lambda x: x.filter("size(spans) > 0").select("core", "seg", "spans").unionByName(copied)
+    if not several.filter(F.col("segments") > CHUNK_SEGMENTS).limit(1).count():  # no strings in different chunks
+        return within(indexed)
     found = materialize(indexed.filter("size(spans) > 0 or size(names) > 0"), "suffix-found")
     strings = found.select("core", "seg", F.explode("names").alias("x")).select("core", "seg", "x.*")
     again = materialize(strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2"), "suffix-again")
     across = strings.join(again, ["h1", "h2"]).groupBy("core", "seg").agg(F.collect_list(F.struct(F.col("k").alias("low"), F.col("k").alias("high"))).alias("spans"))
-    # Equal segments are one in the index; all their strings are repeated.
-    copied = distinct.filter("times > 1").select("core", "seg", F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))).alias("spans"))
-    return found.filter("size(spans) > 0").select("core", "seg", "spans").unionByName(across).unionByName(copied)
+    return within(found).unionByName(across)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
