@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.storage import bounded_batches
+
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Text bytes that are turned into rows at a time, words (and pairs of tokens) that a task remembers, bytes in one recursive query.
 SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 2 << 20, 500_000, 1 << 20
@@ -266,6 +268,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str =
     treat as special tokens are ordinary text. Repeated rows give repeated
     results; other columns of `df` are ignored; an empty table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     id_type = df.schema[id_col].dataType.simpleString()
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.llm import rolling
+from postmill.llm.storage import bounded_batches
 
 PROFILE, TRAIN_DOCS = 400, 2000
 UNDETERMINED = "und"
@@ -77,6 +78,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(labelled: DataFrame, *, lang_col: str, id_col: str, text_col: str, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
     """The profile of each language of the labelled rows."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row per language
     if not sizes:
@@ -104,6 +106,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], *, id_col: str = "doc
     place = np.full((len(all_grams) + 1, len(langs)), size, np.int64)  # the last row: n-grams of no profile
     for k, lang in enumerate(langs):
         place[np.searchsorted(all_grams, np.array(known[lang], np.int64)), k] = np.arange(len(known[lang]))
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((langs, all_grams, place))
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -16,6 +16,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+#: Bytes of rows that a task hands to Python at a time, about; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let this session hand rows to Python in batches of BATCH_BYTES, unless it has asked for smaller ones.
+
+    What a batch takes, it takes in both the executor and its Python worker,
+    several times over; the default of 64 MB is too much for small executors.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    if now and (m := re.fullmatch(r"(-?\d+)\s*([bkmg]?)b?", now.lower())) and not 0 < int(m[1]) * units[m[2]] <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,6 +52,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_root(spark)}/postmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import rolling
+from postmill.llm.storage import bounded_batches
 
 BUCKETS, SIZE, GRAMS = 1 << 18, 4, (3, 4, 5)
 TRAIN_DOCS, LEAST_DOCS, EPOCHS, STEP_DOCS, RATE, SHORTER, GAIN = 2000, 8, 50, 128, 0.03, 0.6, 300.0
@@ -139,6 +140,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """A model from the labelled documents, about `train_docs` of each class at most, chosen by a hash of their ids."""
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     sizes = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
     if not sizes:
@@ -167,6 +169,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     prior. Repeated rows give repeated results; other columns are ignored; an
     empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
