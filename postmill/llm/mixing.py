@@ -177,8 +177,10 @@ def mix(
     edges = materialize(ends(placed.select("src", "extra", "v", "size", F.struct("v", "id", "h").alias("key"))), "mix-ends")
 
     told = materialize(plan.join(edges, _same(F.col("src"), F.col("s")), "left").drop("s").withColumnRenamed("src", "s"), "mix-told")
-    # A filter on the result must not count the words again; hence the condition, which is always true.
-    size = F.when(F.monotonically_increasing_id() >= 0, n_words(text))
+    # The conditions are always true. They keep the optimizer from moving filters on the result below the join, where
+    # they would count the words again, in code too long to be compiled.
+    once = lambda value: F.when(F.monotonically_increasing_id() >= 0, value)
+    size = once(n_words(text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), source.alias("src"), size.alias("size"), uniform(identity, text, seed).alias("u"), key(F.lit(0.0)).alias("key"))
     e = F.element_at("copies", length_class(F.col("size")))
     ranked = rows.join(F.broadcast(told) if small else told, _same(F.col("src"), F.col("s"))).withColumn("e", e).withColumn("v", rank(F.col("u"), _chance(F.col("e"), most_copies)))
@@ -192,7 +194,7 @@ def mix(
         split = F.coalesce(F.col("plus") * (F.col("key") == F.col("last")).cast("long") * (F.col("of_tied") < F.col("tied")).cast("long"), F.lit(0)) > 0
         number = F.row_number().over(Window.partitionBy("s").orderBy("key"))
         ranked = ranked.filter(~split).unionByName(ranked.filter(split).withColumn("plus", (number <= F.col("of_tied")).cast("long")))
-    taken = F.struct(F.col("size"), F.col("source_size"), F.col("target"), (F.floor("e").cast("long") + F.col("plus")).alias("copies"))
+    taken = F.struct(F.col("size"), F.col("source_size"), F.col("target"), once(F.floor("e").cast("long") + F.col("plus")).alias("copies"))
     return ranked.select(*[F.col("row").getField(c).alias(c) for c in columns], taken.alias("_mix"))
 
 
