@@ -58,11 +58,29 @@ def clean_filename(raw: str | None) -> str:
 
 
 def sender_of(message: Message) -> str:
-    for name, address in getaddresses([decoded(v) for v in message.get_all("From", [])])[:1]:
-        return address or name or "unknown"
+    """Address, else name, of the first sender. Encoded words are decoded after the list is split: they may hold commas."""
+    for name, address in getaddresses([str(v) for v in message.get_all("From", [])])[:1]:
+        return address or decoded(name) or "unknown"
     return "unknown"
 
 
+def defects_of(part: Message) -> list[dict]:
+    """What the parser found wrong with a part."""
+    found = ((type(d).__name__, str(d).strip()) for d in part.defects)
+    return [{"part_id": "root", "code": "mime_defect", "message": f"{name}: {line}" if line else name, "severity": "warning"} for name, line in found]
+
+
+def is_calendar(part: Message) -> bool:
+    return "text/calendar" in str(part.get("Content-Type") or "").partition(";")[0].lower()
+
+
+def _calendar_text(part: Message) -> str:
+    """Base64 is UTF-8; anything else is as its charset says."""
+    if str(part.get("Content-Transfer-Encoding") or "").strip().lower() == "base64":
+        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+    return _text(part)
+
+
 def _text(part: Message) -> str:
     raw = part.get_payload(decode=True)
     if raw is None:
@@ -99,14 +117,13 @@ def parse(content: bytes | None) -> dict:
             out["headers"][key] = f"{out['headers'][key]}, {value}" if key in out["headers"] else value
         plain, html = [], []
         for part in message.walk():
-            out["defects"] += [{"part_id": "root", "code": "mime_defect", "message": type(d).__name__, "severity": "warning"} for d in part.defects]
+            out["defects"] += defects_of(part)
             if part.is_multipart():
                 continue
             kind, disposition, name = part.get_content_type(), (part.get_content_disposition() or ""), decoded(part.get_filename())
-            cid = (part["Content-ID"] or "").strip().strip("<>")
-            if kind == "text/calendar":
-                if text := _text(part):
-                    out["calendar_parts"].append(text)
+            cid = str(part["Content-ID"] or "").strip().strip("<>")
+            if is_calendar(part) and (text := _calendar_text(part)):
+                out["calendar_parts"].append(text)
             if kind in ("text/plain", "text/html") and disposition != "attachment" and not name:
                 (plain if kind == "text/plain" else html).append(_text(part))
                 continue
@@ -118,7 +135,7 @@ def parse(content: bytes | None) -> dict:
                     out["attachment_parts"].append({"filename": name, "content_type": kind, "payload": payload, "content_id": cid or None, "disposition": disposition or "attachment"})
                 if cid:
                     out["inline_cid_to_filename"][cid] = name
-            if cid and (part["Content-Transfer-Encoding"] or "").strip().lower() == "base64":
+            if cid and str(part["Content-Transfer-Encoding"] or "").strip().lower() == "base64":
                 out["inline_cid_to_data_uri"][cid] = f"data:{kind};base64,{''.join(part.get_payload().split())}"
         candidates = body_candidates("\n".join(plain), html)
         chosen = selected(candidates)

@@ -17,20 +17,25 @@ def is_message(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length, content) of all .eml files below a folder that Spark can list.
+    """(path, modificationTime, length, content) of all .eml files below a folder.
 
-    Size and time filters on the result reach the listing; `content` is read
-    only if it is selected. The source leaves out names that begin with `_` or
-    `.`; use :func:`scan_local` for folders that have them.
+    Local folders are listed by :func:`local_messages`, so that links do not
+    lead out and unreadable folders are passed over. Elsewhere Spark lists the
+    folder; its source leaves out names that begin with `_` or `.`. Size and
+    time filters on the result reach the listing; `content` is read only if it
+    is selected.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+        return scan_local(spark, path.toUri().getPath())
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(root)
 
 
 def local_messages(root: str) -> list[str]:
     """The regular .eml files below a local folder, hidden ones too, that do not lead out of it, sorted by path components."""
     top = os.path.realpath(root)
     found = []
-    for folder, _, names in os.walk(top):
+    for folder, _, names in os.walk(top, onerror=lambda e: None):
         for name in names:
             path = os.path.join(folder, name)
             real = os.path.realpath(path)
@@ -57,3 +62,25 @@ def validated(path: str) -> str:
 def path_order(path: Column) -> Column:
     """Orders paths by their components."""
     return F.split(path, "/")
+
+
+def backlog(root: str) -> list[str]:
+    """The message files that a watcher finds when it starts: those of each folder together, by name, none of batch folders."""
+    found = [p for p in local_messages(root) if "/_batch-" not in p]
+    return sorted(found, key=lambda p: (os.path.dirname(p).split(os.sep), os.path.basename(p)))
+
+
+def job_files(mode: str, input_path: str, cabinet: str) -> list[str]:
+    """The files of a job: one message, or all below a folder. Nothing may lie in the cabinet; raises ValueError if something is wrong."""
+    real, kept = os.path.realpath(os.path.expanduser(input_path)), os.path.realpath(cabinet)
+    if os.path.commonpath([real, kept]) == kept:
+        raise ValueError(f"sources in the cabinet are not allowed: {real}")
+    if mode == "directory":
+        if not os.path.isdir(real):
+            raise ValueError(f"no such folder: {real}")
+        return local_messages(real)
+    if not os.path.isfile(real):
+        raise ValueError(f"no such file: {real}")
+    if not real.lower().endswith(".eml"):
+        raise ValueError(f"not an .eml file: {real}")
+    return [real]
