@@ -17,7 +17,7 @@ from postmill.operators.diagnostics import decision, quality_state
 from postmill.options import ConvertOptions
 
 IMAGE = "struct<category:string,reason:string,reference:string>"
-HTML_RESULT = f"struct<rule:string,zones:array<{X.ZONE}>,markdown:string,patterns:array<string>,raw_html:string,stripped:array<{IMAGE}>,failed:boolean,repaired:boolean>"
+HTML_RESULT = f"struct<rule:string,zones:array<{X.ZONE}>,markdown:string,patterns:array<string>,raw_html:string,stripped:array<{IMAGE}>,failed:boolean,repaired:boolean,failure:string>"
 
 
 def rewrite_images(markdown: str, data_uris: dict[str, str], stripped: set[str]) -> str:
@@ -31,7 +31,7 @@ def rewrite_images(markdown: str, data_uris: dict[str, str], stripped: set[str])
 
 def html_stage(html: str | None, data_uris: dict[str, str], options: ConvertOptions) -> dict:
     """Everything that needs the HTML tree, in one pass over a message."""
-    out: dict = {"rule": None, "zones": [], "markdown": "", "patterns": [], "raw_html": None, "stripped": [], "failed": False, "repaired": False}
+    out: dict = {"rule": None, "zones": [], "markdown": "", "patterns": [], "raw_html": None, "stripped": [], "failed": False, "repaired": False, "failure": None}
     if not html:
         return out
     uris = data_uris if options.embed_inline_images else {}
@@ -45,8 +45,8 @@ def html_stage(html: str | None, data_uris: dict[str, str], options: ConvertOpti
             texts = [(z, rewrite_images(H.markdown(z["content"]), uris, gone).strip()) for z in zones]
             out |= {"rule": rule, "zones": [{**z, "content": t} for z, t in texts if t]}
         out["markdown"] = rewrite_images(H.markdown(html), uris, gone)
-    except Exception:  # a failed conversion is a row of the decision table
-        out["failed"] = True
+    except Exception as e:  # a failed conversion is a row of the decision table
+        out |= {"failed": True, "failure": str(e) or type(e).__name__}
         if options.allow_html_repair_on_panic and re.search(r"(?i)<i(\s[^>]*)?>", html):
             try:
                 out |= {"markdown": H.markdown(re.sub(r"(?i)</?i(\s[^>]*)?>", "", html)), "repaired": True}
@@ -72,6 +72,23 @@ def without_stripped(names: Column, removed: Column) -> Column:
     return F.aggregate(names, F.struct(F.array().cast("array<string>").alias("kept"), removed.alias("left")), step, lambda s: s["kept"])
 
 
+def referenced_only(parts: Column, names: Column, reference: Column) -> tuple[Column, Column]:
+    """Parts and names without the inline parts that a text does not refer to; an empty text refers to all."""
+    kept = lambda p: (reference == "") | p["content_id"].isNull() | F.contains(reference, F.concat(F.lit("cid:"), p["content_id"]))
+    dropped = F.transform(F.filter(parts, lambda p: ~kept(p)), lambda p: p["filename"])
+    return F.filter(parts, kept), without_stripped(names, dropped)
+
+
+def with_metadata(zones: Column, hint: Column | None, patterns: Column | None) -> Column:
+    """Zones with a map of what is known of them: the client's hint, and on bodies the quote patterns that the message shows."""
+    none = F.create_map().cast("map<string,string>")
+    of_client = none if hint is None else F.when(hint.isNotNull(), F.create_map(F.lit("client_hint"), hint)).otherwise(none)
+    shown = F.lit(False) if patterns is None else F.coalesce(F.size(patterns) > 0, F.lit(False))
+    of_body = none if patterns is None else F.create_map(F.lit("quote_patterns"), F.array_join(F.array_sort(patterns), ","))
+    meta = lambda z: F.when((z["kind"] == "BODY") & shown, F.map_concat(of_client, of_body)).otherwise(of_client)
+    return F.transform(zones, lambda z: F.struct(z["kind"].alias("kind"), z["content"].alias("content"), z["confidence"].alias("confidence"), meta(z).alias("metadata")))
+
+
 def convert_df(messages: DataFrame, options: ConvertOptions | None = None, *, source_col: str = "path", content_col: str = "content") -> DataFrame:
     """A result row for each row of message bytes: front-matter fields, body, zones, diagnostics, attachments and any error.
 
@@ -92,9 +109,10 @@ def convert_df(messages: DataFrame, options: ConvertOptions | None = None, *, so
     use_markdown = kind.eqNullSafe("html") & ~markdown_blank & (~failed | repaired)
     staged = staged.withColumn("_text", F.when(use_markdown, F.col("h.markdown")).otherwise(F.col("text_body")))
     text_zones = X.clean_zones(F.coalesce(X.forward_zones(X.strip(F.col("_text"))), X.reply_zones(F.col("_text"))), options)
-    staged = staged.withColumn("zones", F.when(F.col("_rule").isNotNull(), F.col("_rule_zones")).otherwise(text_zones))
+    staged = staged.withColumn("zones", F.when(F.col("_rule").isNotNull(), with_metadata(F.col("_rule_zones"), F.col("d.hint"), None)).otherwise(with_metadata(text_zones, None, F.col("h.patterns"))))
     calendar = F.array().cast("array<string>") if options.no_calendar_summary else calendar_summaries(F.col("calendar_parts"))
-    warnings = F.concat(F.array_compact(F.array(F.col("d.warning"))), F.transform("defects", lambda x: x["code"]))
+    of_conversion = F.when(F.col("d.warning").isNotNull(), F.struct(F.col("d.warning").alias("code"), F.coalesce(F.col("h.failure"), F.lit("")).alias("message"), F.lit("warning").alias("severity")))
+    warnings = F.concat(F.array_compact(F.array(of_conversion)), F.transform("defects", lambda x: F.struct(x["code"].alias("code"), x["message"].alias("message"), x["severity"].alias("severity"))))
     error = F.coalesce(F.col("error"), F.col("d.error"))
     ok = error.isNull()
     parts = F.col("attachment_parts")
@@ -104,8 +122,8 @@ def convert_df(messages: DataFrame, options: ConvertOptions | None = None, *, so
         gone = F.transform(F.filter(F.col("h.stripped"), lambda s: s["reference"].startswith("cid:")), lambda s: F.substr(s["reference"], F.lit(5)))
         removed_names = F.array_compact(F.transform(gone, lambda c: F.element_at("inline_cid_to_filename", c)))
         reference = F.concat(body, F.coalesce(F.col("h.raw_html"), F.lit(""))) if options.include_raw_html else body
-        parts = F.filter(parts, lambda p: p["content_id"].isNull() | (~F.array_contains(gone, p["content_id"]) & ((reference == "") | F.contains(reference, F.concat(F.lit("cid:"), p["content_id"])))))
-        names = without_stripped(names, removed_names)
+        parts = F.filter(parts, lambda p: p["content_id"].isNull() | ~F.array_contains(gone, p["content_id"]))
+        parts, names = referenced_only(parts, without_stripped(names, removed_names), reference)
     none = F.lit(None).cast("string")
     return staged.select(
         "source",
@@ -158,7 +176,7 @@ def document(row: dict) -> str:
 
 
 def zones_of(results: DataFrame) -> DataFrame:
-    """(source, ord, kind, content, confidence), a row for each zone."""
+    """(source, ord, kind, content, confidence, metadata), a row for each zone."""
     return results.select("source", F.posexplode("zones").alias("ord", "z")).select("source", "ord", "z.*")
 
 

@@ -40,6 +40,39 @@ def transitions(log: DataFrame, *, job: str, at: list[str], status: str) -> Data
     return log.withColumn("before", before).withColumn("allowed", F.coalesce(allowed, F.lit(False)))
 
 
+def lifecycle(log: DataFrame, *, job: str, at: list[str], status: str) -> DataFrame:
+    """(job, status, started_at, finished_at) of each job from its log of states, in order of `at`.
+
+    Only allowed steps count, each judged against the last one that counted: a
+    job that has ended stays as it ended. A job starts when it first runs.
+    """
+    entry = F.struct(*at, F.col(status).alias("status"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast(log.schema[at[0]].dataType).alias("started_at"), F.lit(None).cast(log.schema[at[0]].dataType).alias("finished_at"))
+
+    def step(s: Column, e: Column) -> Column:
+        new = e["status"]
+        allowed = s["status"].isNull() & (new == "queued")
+        for old, next_ in TRANSITIONS.items():
+            allowed = allowed | (s["status"].eqNullSafe(F.lit(old)) & new.isin(*next_))
+        then = F.struct(new.alias("status"), F.when(new == "running", F.coalesce(s["started_at"], e[at[0]])).otherwise(s["started_at"]).alias("started_at"), F.when(new.isin(*TERMINAL), e[at[0]]).alias("finished_at"))
+        return F.when(allowed, then).otherwise(s)
+
+    folded = log.groupBy(job).agg(F.array_sort(F.collect_list(entry)).alias("log"))  # the log of one job
+    return folded.select(job, F.aggregate("log", start, step).alias("s")).select(job, "s.*")
+
+
+def worker_counters(success: Column, dry_run: Column) -> dict[str, Column]:
+    """Aggregates over the files of a job: completed, failed, written, skipped (done, but only as a dry run) and errors."""
+    good = F.count_if(success)
+    return {"completed": good, "failed": F.count_if(~success), "written": F.count_if(success & ~dry_run), "skipped": F.count_if(success & dry_run), "errors": F.count_if(~success)}
+
+
+def history_totals(jobs: DataFrame, *, status: str = "status") -> DataFrame:
+    """(jobs, failed, succeeded) over all terminal jobs, however many the history shows."""
+    done = jobs.filter(F.col(status).isin(*TERMINAL))
+    return done.agg(F.count("*").alias("jobs"), F.count_if(F.col(status) == "failed").alias("failed"), F.count_if(F.col(status) == "succeeded").alias("succeeded"))
+
+
 def _newest(finished: str, created: str, job: str) -> list[Column]:
     return [F.coalesce(F.col(finished), F.col(created)).desc(), F.col(created).desc(), F.col(job).desc()]
 

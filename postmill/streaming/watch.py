@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,7 +71,30 @@ def _listed(spark: SparkSession, checkpoint: str, number: int) -> list[str]:
     return [p for p in (path(r.path) for r in entries.collect()) if "/_batch-" not in p]
 
 
-def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], *, checkpoint: str, options: ConvertOptions | None = None, once: bool = False) -> StreamingQuery:
+@dataclass
+class WatchStatus:
+    """What a watcher has seen so far."""
+
+    files_detected: int = 0
+    batches: int = 0
+    failed_events: int = 0
+    last_error: dict | None = None
+
+    def failed(self, path: str | None, message: str) -> None:
+        self.failed_events += 1
+        self.last_error = {"path": path, "code": "watch_processing_error", "message": message, "stage": "backend"}
+
+
+def inside(folder: str, paths: list[str]) -> list[str]:
+    """Those of `paths` that do not lead out of a local folder by links; folders elsewhere have none."""
+    top = urlparse(folder)
+    if top.scheme not in ("", "file"):
+        return paths
+    root = os.path.realpath(top.path)
+    return [p for p in paths if os.path.commonpath([root, os.path.realpath(re.sub(r"^file:(//)?(?=/)", "", p))]) == root]
+
+
+def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], *, checkpoint: str, options: ConvertOptions | None = None, once: bool = False, status: WatchStatus | None = None) -> StreamingQuery:
     """Convert what arrives and hand each batch of results to `sink`; the checkpoint remembers what was seen.
 
     The sink gets a batch again if it fails, under the same number, so it
@@ -75,15 +102,35 @@ def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], Non
     are settled and then reads them; it is done only after that, so a file
     that is still being copied is neither read in part nor lost by a restart.
     A path comes once, so there is nothing for :func:`dedupe_stream` to drop.
+    Files that links lead to outside of the folder are left out.
+
+    `status` counts: a message that cannot be converted is a failure, and the
+    loop goes on; an error of the sink is one, too, and ends the query.
     """
 
     def batch(files: DataFrame, number: int) -> None:
         seen = {r.path for r in files.select("path").collect()}  # files_per_batch at most
-        ready = settled(spark, sorted(seen | set(_listed(spark, checkpoint, number))))
+        ready = inside(folder, settled(spark, sorted(seen | set(_listed(spark, checkpoint, number)))))
         empty = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in ready if p not in seen]
         if empty:
             files = files.unionByName(spark.read.format("binaryFile").load(empty))
-        sink(convert_df(files, options), number)  # contents are read here, whole as they are now
+        if len(ready) < len(seen):
+            files = files.filter(F.col("path").isin(ready))  # files_per_batch at most
+        results = convert_df(files, options)  # contents are read when this runs, whole as they are now
+        if status is None:
+            return sink(results, number)
+        results = results.persist()
+        try:
+            sink(results, number)
+            status.files_detected += len(ready)
+            status.batches += 1
+            for r in results.filter("not success").select("source", "error").collect():
+                status.failed(r.source, r.error)
+        except Exception as e:
+            status.failed(None, str(e) or type(e).__name__)
+            raise
+        finally:
+            results.unpersist()
 
     trigger = {"availableNow": True} if once else {"processingTime": "300 milliseconds"}
     return watched(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -95,27 +142,41 @@ def accepted(times: Column, gap: Column) -> Column:
     return F.aggregate(times, start, lambda kept, t: F.when(t >= F.element_at(kept, -1) + gap, F.concat(kept, F.array(t))).otherwise(kept))
 
 
+def _folded(gap: float):
+    """From (key, at, order), sorted: with `fresh`. The state is one number, however many events a key has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, float("-inf")
+        for batch in batches:
+            fresh = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, float("-inf")
+                new = t >= last + gap
+                last = t if new else last
+                fresh.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh, pa.bool_())], names=[*batch.schema.names, "fresh"])
+
+    return run
+
+
 def dedupe(events: DataFrame, *, key: list[str], at: str, order: str, gap: float = DEDUPE_SECONDS) -> DataFrame:
-    """`events` with `fresh`: whether the watcher accepts it. `at` is in seconds; equal times follow `order`.
+    """(key, at, order, fresh): which events the watcher accepts. `at` is in seconds; equal times follow `order`.
 
     An event that is dropped does not extend the pause, so this is a fold over
-    the events of a key and not a comparison with the one before. Keys in which
-    no two events lie within the pause are decided by a window function; only
-    the events of the others are gathered.
+    the events of a key and not a comparison with the one before. A window
+    function cuts the events of a key where a pause lies between two; the first
+    of such a run is always accepted, so runs are dealt out to tasks by
+    themselves and gone through as a sorted stream.
     """
     w = Window.partitionBy(*key).orderBy(at, order)
     close = F.coalesce(F.col(at) - F.lag(at).over(w) < gap, F.lit(False))
     runs = events.withColumn("_close", close).withColumn("_run", F.count_if(~F.col("_close")).over(w))
-    # A run is a chain of events each close to the one before; the first of a run is always accepted.
-    item = F.struct(F.col(at).alias("t"), F.col(order).alias("o"))
-    folded = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    keep = F.aggregate(
-        "_all",
-        F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<boolean>").alias("fresh")),
-        lambda s, e: F.when(e["t"] >= s["last"] + gap, F.struct(e["t"].cast("double").alias("last"), F.concat(s["fresh"], F.array(F.lit(True))).alias("fresh"))).otherwise(F.struct(s["last"].alias("last"), F.concat(s["fresh"], F.array(F.lit(False))).alias("fresh"))),
-        lambda s: s["fresh"],
-    )
-    return folded.select(*key, F.explode(F.arrays_zip("_all", keep.alias("fresh"))).alias("x")).select(*key, F.col("x._all.t").alias(at), F.col("x._all.o").alias(order), F.col("x.fresh").alias("fresh"))
+    rows = runs.select(F.struct(*key, "_run").alias("k"), F.col(at).alias("t"), F.col(order).alias("o"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (*key, at, order)}
+    schema = f"k struct<{','.join(f'{c}:{kinds[c]}' for c in key)},_run:bigint>, t {kinds[at]}, o {kinds[order]}, fresh boolean".replace(">,_run:bigint>", ",_run:bigint>")
+    folded = rows.repartition("k").sortWithinPartitions("k", "t", "o").mapInArrow(_folded(gap), schema)
+    return folded.select(*(F.col("k").getField(c).alias(c) for c in key), F.col("t").alias(at), F.col("o").alias(order), "fresh")
 
 
 def stable(files: DataFrame, seconds: float = STABLE_SECONDS) -> DataFrame:
