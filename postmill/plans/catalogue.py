@@ -6,20 +6,22 @@ each query from table columns, and the SQL makes the same ones.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.functions import html as H
-from postmill.functions import names, text
+from postmill.functions import mime, names, text
 from postmill.functions.calendar import calendar_summaries
 from postmill.functions.mime import parse_eml
 from postmill.operators import convert, diagnostics, reports, ui
 from postmill.options import ConvertOptions
 from postmill.sources.eml import is_message
-from postmill.sources.listing import listing_order
+from postmill.sources.listing import drop_split, placed
 from postmill.streaming.watch import dedupe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,18 +73,20 @@ def mail_roundtrip(t: DataFrame) -> DataFrame:
     return p.select("doc_id", "subject", "sender", "date", F.length("text_body").cast("long").alias("body_chars"), F.md5(C("text_body").cast("binary")).alias("body_md5"))
 
 
-@query("documents", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'u' || doc_id || '@x.org' WHEN 1 THEN 'v' || doc_id || '@x.org' WHEN 2 THEN 'Name' || doc_id ELSE 'unknown' END AS sender FROM documents")
+@query("documents", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'u' || doc_id || '@x.org' WHEN 1 THEN 'v' || doc_id || '@x.org' WHEN 2 THEN 'Name' || doc_id WHEN 3 THEN 'unknown' WHEN 4 THEN 'w' || doc_id || '@x.org' ELSE 'Doe, J' || doc_id END AS sender FROM documents")
 def mail_sender_resolve(t: DataFrame) -> DataFrame:
-    k = C("doc_id") % 4
-    raw = F.when(k == 0, _s("A B <u", C("doc_id"), "@x.org>, C <c@x.org>")).when(k == 1, _s("v", C("doc_id"), "@x.org")).when(k == 2, _s("Name", C("doc_id"), " <>")).otherwise("")
+    k = C("doc_id") % 6
+    raw = F.when(k == 0, _s("A B <u", C("doc_id"), "@x.org>, C <c@x.org>")).when(k == 1, _s("v", C("doc_id"), "@x.org")).when(k == 2, _s("Name", C("doc_id"), " <>")).when(k == 4, _s("=?utf-8?q?Doe=2C_J?= <w", C("doc_id"), "@x.org>")).when(k == 5, _s("=?utf-8?q?Doe=2C_J", C("doc_id"), "?= <>")).otherwise("")
     return t.select("doc_id", parse_eml(_message(F.lit("s"), raw, F.lit(""), F.lit("b")))["sender"].alias("sender"))
 
 
-@query("documents", "SELECT doc_id, trim(replace(text[:30], chr(10), ' ')) AS subject FROM documents")
+# The whole text, a line a word of its own: lines of encoded words are joined as they stand.
+@query("documents", r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '^[ \t\r\f\x0b\n]+|[ \t\r\f\x0b\n]+$', '', 'g'), '\s+', ' ', 'g')) AS subject_md5 FROM documents")
 def mail_subject_rfc2047(t: DataFrame) -> DataFrame:
-    raw = F.replace(F.substring("text", 1, 30), F.lit("\n"), F.lit(" "))
-    word = _s("=?utf-8?b?", F.base64(raw.cast("binary")), "?=")
-    return t.select("doc_id", parse_eml(_message(word, F.lit("a@b.c"), F.lit(""), F.lit("b")))["subject"].alias("subject"))
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\f\x0b\n]+", " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(flat) / 30).cast("int")), lambda k: F.substr(flat, 30 * k + 1, F.lit(30)))
+    words = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("=?utf-8?b?"), F.base64(p.cast("binary")), F.lit("?="))), "\r\n ")
+    return t.select("doc_id", F.md5(parse_eml(_message(words, F.lit("a@b.c"), F.lit(""), F.lit("b")))["subject"].cast("binary")).alias("subject_md5"))
 
 
 @query("documents", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_DATE_SQL} WHEN 1 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 61), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS date FROM documents")
@@ -94,8 +98,14 @@ def mail_date_iso(t: DataFrame) -> DataFrame:
 
 @query("conversations", "SELECT conv_id, turn, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'assistant') DESC, turn DESC) AS rn FROM conversations WHERE trim(text) <> '') WHERE rn = 1")
 def body_select_last_html(t: DataFrame) -> DataFrame:
-    best = F.max_by(F.struct("turn", "text"), F.struct((C("role") == "assistant").alias("html"), "turn"))
-    return t.filter(F.trim("text") != "").groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.turn", C("b.text").alias("body"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.when(C("role") == "assistant", "html").otherwise("plain").alias("kind"), C("text").alias("content"))))
+
+    def chosen(lists: pd.Series) -> pd.DataFrame:
+        found = [mime.selected([dict(x) for x in sorted(c, key=lambda x: x["turn"])]) or {"turn": None, "content": None} for c in lists]
+        return pd.DataFrame([(x["turn"], x["content"]) for x in found], columns=["turn", "body"])
+
+    picked = F.pandas_udf(chosen, "struct<turn:long,body:string>").asNondeterministic()
+    return t.filter(F.trim("text") != "").groupBy("conv_id").agg(turns.alias("c")).select("conv_id", picked("c").alias("b")).select("conv_id", "b.*")
 
 
 @query("pages", r"SELECT page_id, coalesce(list_filter(regexp_split_to_array(raw, '[\\/]+'), lambda p: p NOT IN ('', '.', '..'))[-1], 'attachment') AS name FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'c:\dir\' || page_id || '.txt' WHEN 2 THEN '../..' ELSE '  ' || page_id || '.pdf ' END AS r, trim(r) AS raw FROM pages)")
@@ -120,7 +130,11 @@ def attachment_explode(t: DataFrame) -> DataFrame:
 def cid_map_lookup(t: DataFrame) -> DataFrame:
     p = t.select("doc_id", parse_eml(_mixed(C("doc_id"), F.lit("b"))).alias("p")).select("doc_id", "p.inline_cid_to_filename", C("p.inline_cid_to_data_uri").alias("u"))
     cid = _s("c", C("doc_id"))
-    body = F.aggregate(F.map_entries("u"), _s("see ![](cid:", cid, ")"), lambda m, e: F.replace(m, _s("(cid:", e["key"], ")"), _s("(", e["value"], ")")))
+
+    def rewritten(texts: pd.Series, uris: pd.Series) -> pd.Series:
+        return pd.Series([convert.rewrite_images(x, dict(u), {"gone"}) for x, u in zip(texts, uris)])
+
+    body = F.pandas_udf(rewritten, "string")(_s("see ![a](cid:gone) ![](cid:", cid, ")"), C("u"))
     return p.select("doc_id", F.element_at("inline_cid_to_filename", cid).alias("filename"), body.alias("body"))
 
 
@@ -136,23 +150,21 @@ def _src() -> Column:
 
 @query("documents", f"SELECT doc_id, CASE WHEN contains({_SRC_SQL}, 'googleusercontent.com/mail-sig/') THEN 'gmail_mail_sig_url' WHEN contains(lower({_SRC_SQL}), 'logo') THEN 'filename_pattern:logo' WHEN contains({_SRC_SQL}, 'badge') THEN 'filename_pattern:badge' END AS reason FROM documents")
 def img_signature_reason(t: DataFrame) -> DataFrame:
-    low = F.lower(_src())
-    chain = F.when(F.contains(_src(), F.lit(H.SIGNATURE_MAIL_URL)), "gmail_mail_sig_url")
-    for word in H.SIGNATURE_WORDS:
-        chain = chain.when(F.contains(low, F.lit(word)), f"filename_pattern:{word}")
-    return t.select("doc_id", chain.alias("reason"))
+    reason = lambda x: next((s["reason"] for s in H.filter_images(x, signatures=True, pixels=False)[1]), None)
+    return t.select("doc_id", _udf(reason, "string")(_s('<p>x<img src="', _src(), '"></p>')).alias("reason"))
 
 
 @query(
     "documents",
-    """SELECT doc_id, CASE WHEN w IN ('0', '1px') AND h IN ('0', '1px') THEN 'dimension_heuristic' WHEN (w IN ('0', '1px') AND h = '') OR (h IN ('0', '1px') AND w = '') THEN 'dimension_heuristic'
-    WHEN st LIKE '%width:1px;height%' THEN 'dimension_heuristic' WHEN st LIKE '%display: none%' THEN 'hidden_image' END AS reason
-    FROM (SELECT doc_id, ['0', '1px', '20', ''][1 + doc_id % 4] AS w, ['1px', '', '30'][1 + doc_id % 3] AS h, ['', 'width:1px;height:1px;', 'display: none', 'max-width:1px;'][1 + (doc_id // 12) % 4] AS st FROM documents)""",
+    """SELECT doc_id, CASE WHEN (w IN ('0', '1') AND h IN ('0', '1')) OR (w IN ('0', '1') AND h = '') OR (h IN ('0', '1') AND w = '') THEN 'dimension_heuristic'
+    WHEN st LIKE '%width:1px;height%' OR (st = 'height:1px' AND (w IN ('0', '1') OR (w = '' AND h IN ('0', '1')))) THEN 'dimension_heuristic' WHEN st LIKE '%display: none%' THEN 'hidden_image' END AS reason
+    FROM (SELECT doc_id, ['0', '1px', '20', '', '1', ' 1'][1 + doc_id % 6] AS w, ['1', '', '30', '1px'][1 + (doc_id // 6) % 4] AS h, ['', 'width:1px;height:1px;', 'display: none', 'max-width:1px;', 'height:1px'][1 + (doc_id // 24) % 5] AS st FROM documents)""",
 )
 def img_tracking_reason(t: DataFrame) -> DataFrame:
     pick = lambda k, *v: F.get(F.array(*map(F.lit, v)), k.cast("int"))
     i = C("doc_id")
-    w, h, style = pick(i % 4, "0", "1px", "20", ""), pick(i % 3, "1px", "", "30"), pick(F.floor(i / 12) % 4, "", "width:1px;height:1px;", "display: none", "max-width:1px;")
+    w, h = pick(i % 6, "0", "1px", "20", "", "1", " 1"), pick(F.floor(i / 6) % 4, "1", "", "30", "1px")
+    style = pick(F.floor(i / 24) % 5, "", "width:1px;height:1px;", "display: none", "max-width:1px;", "height:1px")
     page = _s('<p><img src="https://x.org/p.jpg" width="', w, '" height="', h, '" style="', style, '"></p>')
     reason = lambda x: next((s["reason"] for s in H.filter_images(x, signatures=False, pixels=True)[1]), None)
     return t.select("doc_id", _udf(reason, "string")(page).alias("reason"))
@@ -169,10 +181,12 @@ def img_strip_multiset(t: DataFrame) -> DataFrame:
     return kept.select("l_orderkey", F.size("n").cast("long").alias("kept"), F.array_join("n", ",").alias("names"))
 
 
-@query("documents", "SELECT doc_id, count(*) FILTER (WHERE k = 2 OR contains(body, 'cid:i' || k)) AS kept FROM (SELECT doc_id, 'see cid:i' || (doc_id % 2) AS body FROM documents), (VALUES (0), (1), (2)) p(k) GROUP BY doc_id")
+@query("documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 4 ELSE 2 END AS kept, CASE doc_id % 3 WHEN 0 THEN 'a,c' WHEN 1 THEN 'b,c' ELSE 'a,b,a,c' END AS names FROM documents")
 def img_retain_referenced(t: DataFrame) -> DataFrame:
-    body, parts = _s("see cid:i", C("doc_id") % 2), F.array(F.lit("i0"), F.lit("i1"), F.lit(None))
-    return t.select("doc_id", F.size(F.filter(parts, lambda c: c.isNull() | F.contains(body, _s("cid:", c)))).cast("long").alias("kept"))
+    part = lambda name, cid: F.struct(F.lit(name).alias("filename"), F.lit(cid).cast("string").alias("content_id"))
+    body = F.when(C("doc_id") % 3 == 2, "").otherwise(_s("see cid:i", C("doc_id") % 3))
+    parts, kept = convert.referenced_only(F.array(part("a", "i0"), part("b", "i1"), part("a", "i2"), part("c", None)), F.array(*map(F.lit, "abac")), body)
+    return t.select("doc_id", F.size(parts).alias("kept"), F.array_join(kept, ",").alias("names"))
 
 
 # --- HTML -------------------------------------------------------------------
@@ -184,10 +198,10 @@ def html_no_active_content(t: DataFrame) -> DataFrame:
     return clean.select("page_id", F.regexp_like("h", F.lit(r"(?i)<(script|style|nav|footer)\b|<!--")).alias("active"), F.contains("h", F.lit("<h1>")).alias("has_h1"))
 
 
-@query("pages", "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) WHERE lower(tag) IN ('a', 'b', 'br', 'h1', 'h2', 'li', 'ul') GROUP BY ALL")
+@query("pages", "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) WHERE lower(tag) IN ('a', 'b', 'blockquote', 'br', 'code', 'div', 'em', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'hr', 'i', 'img', 'li', 'ol', 'p', 'pre', 'span', 'strong', 'sub', 'sup', 'table', 'tbody', 'td', 'th', 'thead', 'tr', 'ul') GROUP BY ALL")
 def html_tag_inventory(t: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(_udf(H.sanitize, "string")(C("html")), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
-    return t.select("page_id", F.explode(tags).alias("tag")).filter(C("tag").isin("a", "b", "br", "h1", "h2", "li", "ul")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return t.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("pages", """SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages""")
@@ -273,17 +287,28 @@ def body_assemble(t: DataFrame) -> DataFrame:
 
 # --- rendering --------------------------------------------------------------
 
-_SLUG_SQL = "coalesce(nullif(trim(regexp_replace(strip_accents(replace(lower(trim(text[:40])), 'ß', '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'email')"
+_SLUG_SQL = "coalesce(nullif(trim(regexp_replace(strip_accents(replace(lower(trim(text)), 'ß', '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'email')"
 
 
 @query("documents", f"SELECT doc_id, {_SLUG_SQL} AS slug FROM documents")
 def slugify(t: DataFrame) -> DataFrame:
-    return t.select("doc_id", names.slugify(_s("Re: FWD: ", F.substring("text", 1, 40))).alias("slug"))
+    return t.select("doc_id", names.slugify(_s("Re: FWD: ", C("text"))).alias("slug"))
 
 
-@query("documents", "SELECT doc_id, name, CASE WHEN rn = 1 THEN name ELSE name || '-' || rn END AS final_name FROM (SELECT doc_id, source || 'x' AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents)")
+# Names are given out in turn: each gets the first number that is free, and some look numbered already.
+@query(
+    "documents",
+    """WITH RECURSIVE d AS (SELECT doc_id, lang, source || CASE doc_id % 5 WHEN 1 THEN '-2' WHEN 2 THEN '-3' WHEN 3 THEN '-2-2' ELSE '' END AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn, source FROM documents),
+    f AS (SELECT doc_id, lang, source, rn, name, name AS final, [name] AS used FROM d WHERE rn = 1
+      UNION ALL SELECT x.doc_id, x.lang, x.source, x.rn, x.name, x.final, list_append(x.before, x.final) FROM (
+        SELECT d.doc_id, d.lang, d.source, d.rn, d.name, f.used AS before, list_filter(list_transform(range(1, len(f.used) + 3), lambda k: CASE WHEN k = 1 THEN d.name ELSE d.name || '-' || k END), lambda c: NOT list_contains(f.used, c))[1] AS final
+        FROM f JOIN d ON d.lang = f.lang AND d.source = f.source AND d.rn = f.rn + 1) x)
+    SELECT doc_id, name, final AS final_name FROM f""",
+)
 def slug_collision(t: DataFrame) -> DataFrame:
-    return names.numbered(t.select("doc_id", "lang", _s(C("source"), "x").alias("name")), folder="lang", name="name", order="doc_id").select("doc_id", "name", "final_name")
+    k = C("doc_id") % 5
+    name = _s(C("source"), F.when(k == 1, "-2").when(k == 2, "-3").when(k == 3, "-2-2").otherwise(""))
+    return names.numbered(t.select("doc_id", "lang", name.alias("name")), folder="lang", name="name", order="doc_id").select("doc_id", "name", "final_name")
 
 
 @query("pages", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/in/d' || page_id % 7 || '/n.md' WHEN 1 THEN '/out/exact.md' ELSE '/out/n.md' END AS target FROM pages")
@@ -292,10 +317,32 @@ def output_mirror_path(t: DataFrame) -> DataFrame:
     return t.select("page_id", names.output_target(_s("/in/d", C("page_id") % 7, "/m.eml"), F.lit("n"), out).alias("target"))
 
 
-@query("documents", """SELECT doc_id, '{"source":"' || source || '.eml","subject":"s' || doc_id || '","sender":"a@b.c","date":null,"attachments":[]}' AS front FROM documents""")
+_FRONT = "source string, subject string, sender string, date string, attachments array<string>, calendar array<string>, body string"
+
+
+def _result_rows(t: DataFrame) -> DataFrame:
+    calendar = F.when(C("doc_id") % 2 == 0, F.array(F.lit("Talk"))).otherwise(F.array().cast("array<string>"))
+    row = F.struct(_s(C("source"), ".eml").alias("source"), _s("s", C("doc_id")).alias("subject"), F.lit("a@b.c").alias("sender"), F.lit(None).cast("string").alias("date"), F.array().cast("array<string>").alias("attachments"), calendar.alias("calendar"), F.coalesce("text", F.lit("")).alias("body"))
+    return t.select("doc_id", row.alias("row"))
+
+
+def _of_row(f: Callable[[dict], str]) -> Callable[[Column], Column]:
+    """A vectorised UDF of a function of a result row."""
+
+    def batch(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([f({k: list(v) if k in ("attachments", "calendar") else v for k, v in r.items()}) for r in rows.to_dict("records")], dtype="object")
+
+    return lambda c: F.pandas_udf(batch, "string")(c)
+
+
+@query("documents", """SELECT doc_id, '{"source": "' || source || '.eml", "subject": "s' || doc_id || '", "sender": "a@b.c", "date": null, "attachments": []' || CASE WHEN doc_id % 2 = 0 THEN ', "calendar": ["Talk"]' ELSE '' END || '}' AS front FROM documents""")
 def front_matter_json(t: DataFrame) -> DataFrame:
-    front = F.struct(_s(C("source"), ".eml").alias("source"), _s("s", C("doc_id")).alias("subject"), F.lit("a@b.c").alias("sender"), F.lit(None).cast("string").alias("date"), F.array().cast("array<string>").alias("attachments"))
-    return t.select("doc_id", F.to_json(front, {"ignoreNullFields": "false"}).alias("front"))
+    return _result_rows(t).select("doc_id", _of_row(lambda r: json.dumps(convert.front_matter(r)))(C("row")).alias("front"))
+
+
+@query("documents", r"SELECT doc_id, md5('---' || chr(10) || 'source: ' || source || '.eml' || chr(10) || 'subject: s' || doc_id || chr(10) || 'sender: a@b.c' || chr(10) || 'date: null' || chr(10) || 'attachments: []' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'calendar:' || chr(10) || '- Talk' || chr(10) ELSE '' END || '---' || chr(10) || CASE WHEN b <> '' THEN chr(10) || b || chr(10) ELSE '' END) AS document_md5 FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS b FROM documents)")
+def document_serialize(t: DataFrame) -> DataFrame:
+    return _result_rows(t).select("doc_id", F.md5(_of_row(convert.document)(C("row")).cast("binary")).alias("document_md5"))
 
 
 @query("events", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ', x (' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00 -> ' || strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') || '+00:00)' WHEN 1 THEN event_type || ', x (' || strftime(ts, '%Y-%m-%d') || ')' ELSE '(no summary)' END AS summary FROM events")
@@ -358,8 +405,24 @@ def job_history_topk(t: DataFrame) -> DataFrame:
 
 @query("orders", f"SELECT count(*) AS jobs, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'succeeded') AS succeeded FROM {_JOBS_SQL} WHERE status <> 'running'")
 def job_history_totals(t: DataFrame) -> DataFrame:
-    done = _jobs(t).filter(C("status").isin(*reports.TERMINAL))
-    return done.agg(F.count("*").alias("jobs"), F.count_if(C("status") == "failed").alias("failed"), F.count_if(C("status") == "succeeded").alias("succeeded"))
+    return reports.history_totals(_jobs(t))
+
+
+@query("events", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, ['queued', 'running', 'succeeded', 'failed', 'cancelled'][1 + event_id % 5] AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (SELECT user_id, rn, CASE WHEN status = 'queued' THEN status END AS s, NULL::BIGINT AS a, NULL::BIGINT AS z FROM e WHERE rn = 1
+      UNION ALL SELECT e.user_id, e.rn, CASE WHEN ok THEN status ELSE s END, CASE WHEN ok AND status = 'running' THEN coalesce(a, us) ELSE a END, CASE WHEN ok AND status IN ('succeeded', 'failed', 'cancelled') THEN us ELSE z END
+      FROM (SELECT f.s, f.a, f.z, e.*, coalesce((f.s IS NULL AND e.status = 'queued') OR (f.s = 'queued' AND e.status IN ('running', 'cancelled')) OR (f.s = 'running' AND e.status IN ('succeeded', 'failed', 'cancelled')), false) AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) e)
+    SELECT user_id, s AS status, a AS started_us, z AS finished_us FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1""")
+def job_lifecycle(t: DataFrame) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, ("queued", "running", "succeeded", "failed", "cancelled"))), (C("event_id") % 5).cast("int"))
+    rows = reports.lifecycle(t.withColumn("status", status), job="user_id", at=["ts", "event_id"], status="status")
+    us = lambda c: F.unix_micros(C(c).cast("timestamp"))
+    return rows.select("user_id", "status", us("started_at").alias("started_us"), us("finished_at").alias("finished_us"))
+
+
+@query("lineitem", "SELECT l_orderkey, count(*) FILTER (WHERE ok) AS completed, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok AND NOT dry) AS written, count(*) FILTER (WHERE ok AND dry) AS skipped, count(*) FILTER (WHERE NOT ok) AS errors FROM (SELECT l_orderkey, l_returnflag <> 'R' AS ok, l_orderkey % 2 = 0 AS dry FROM lineitem) GROUP BY 1")
+def job_counters(t: DataFrame) -> DataFrame:
+    return t.groupBy("l_orderkey").agg(*(c.alias(k) for k, c in reports.worker_counters(C("l_returnflag") != "R", C("l_orderkey") % 2 == 0).items()))
 
 
 @query("orders", f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY coalesce(finished_at, created_at) DESC, created_at DESC, id DESC) AS rn FROM {_JOBS_SQL} WHERE status <> 'running') WHERE rn > 2000")
@@ -399,7 +462,7 @@ def watch_dedupe(t: DataFrame) -> DataFrame:
 @query("pages", "SELECT page_id, row_number() OVER (ORDER BY page_id % 5 <> 0, lower(url), page_id) AS place FROM pages")
 def fs_listing_sort(t: DataFrame) -> DataFrame:
     rows = t.select("page_id", "url", F.when(C("page_id") % 5 == 0, "directory").otherwise("file").alias("type"))
-    return rows.select("page_id", F.row_number().over(Window.orderBy(*listing_order(C("type"), C("url")), "page_id")).cast("long").alias("place"))
+    return placed(rows, "type", "url", "page_id").select("page_id", C("place").cast("long").alias("place"))
 
 
 @query("documents", "SELECT doc_id, doc_id % 3 < 2 AND doc_id % 2 = 0 AS watched FROM documents")
@@ -410,7 +473,8 @@ def eml_filter(t: DataFrame) -> DataFrame:
 
 @query("documents", "SELECT doc_id % 2 = 0 AS is_eml, count(*) AS files, sum(n_chars)::BIGINT AS bytes, sum(n_chars) > 104857600 AS large FROM documents GROUP BY 1")
 def drop_summary(t: DataFrame) -> DataFrame:
-    return t.groupBy((C("doc_id") % 2 == 0).alias("is_eml")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes")).withColumn("large", C("bytes") > 100 * 1024 * 1024)
+    files = t.select(F.when(C("doc_id") % 2 == 0, "a.EML").otherwise("eml.txt").alias("name"), C("n_chars").alias("size"))
+    return drop_split(files)
 
 
 # --- values for a user interface --------------------------------------------
@@ -456,11 +520,27 @@ def ui_validate_form(t: DataFrame) -> DataFrame:
     return t.select("doc_id", ui.form_error(F.when(C("doc_id") % 3 == 0, "x").otherwise("file"), F.when(C("doc_id") % 2 == 0, "  ").otherwise("p")).alias("problems"))
 
 
-@query("documents", "SELECT doc_id, 's' || doc_id AS subject, 'body ' || source AS body, 's' || doc_id AS slug, 'normal' AS state, true AS success FROM documents")
+# Whole texts, in turn as a plain mail with a signature, and as what two clients and one that is not known quote in HTML. Text that looks like markup or a quote is made harmless.
+@query(
+    "documents",
+    r"""SELECT doc_id, 's' || doc_id AS subject, 's' || doc_id AS slug, true AS success,
+    CASE WHEN k = 0 THEN md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) ELSE md5('reply ' || doc_id) END AS body_md5,
+    CASE WHEN k IN (1, 2) THEN 'html' ELSE 'plain_fallback' END AS path, ['generic', 'gmail', 'outlook', 'generic'][k + 1] AS hint, ['normal', 'normal', 'normal', 'review_recommended'][k + 1] AS state,
+    CASE WHEN k IN (1, 2) THEN 'client_hint' WHEN k = 3 THEN 'quote_patterns' ELSE '' END AS known, CASE WHEN k = 0 THEN 1 ELSE 2 END AS zones
+    FROM (SELECT doc_id, doc_id % 4 AS k, 'x ' || regexp_replace(coalesce(text, ''), '[<>&]', '.', 'g') AS t FROM documents)""",
+)
 def convert_messages(t: DataFrame) -> DataFrame:
-    mail = _message(_s("s", C("doc_id")), F.lit("a@b.c"), F.lit(""), _s("body ", C("source"), "\n-- \nsig"))
-    done = convert.convert_df(t.select(C("doc_id").cast("string").alias("path"), mail.alias("content")), ConvertOptions(strip_signatures=True))
-    return done.select(C("source").cast("long").alias("doc_id"), "subject", "body", "slug", C("diagnostics.state").alias("state"), "success")
+    i, k = C("doc_id"), C("doc_id") % 4
+    text_ = F.concat(F.lit("x "), F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", "."))
+    quote = F.when(k == 1, _s('<div class="gmail_quote">', text_, "</div>")).when(k == 2, _s('<div id="divRplyFwdMsg">', text_, "</div>")).otherwise(_s("<blockquote>", text_, "</blockquote>"))
+    body = F.when(k == 0, F.concat(text_, F.lit("\n-- \nsig"))).otherwise(_s("<p>reply ", i, "</p>", quote))
+    head = _s("From: a@b.c\r\nSubject: s", i, "\r\nContent-Type: text/", F.when(k == 0, "plain").otherwise("html"), "; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n")
+    done = convert.convert_df(t.select(i.cast("string").alias("path"), F.concat(head, body).cast("binary").alias("content")), ConvertOptions(strip_signatures=True))
+    d = C("diagnostics")
+    return done.select(
+        C("source").cast("long").alias("doc_id"), "subject", "slug", "success", F.md5(C("body").cast("binary")).alias("body_md5"), d["segmentation_path"].alias("path"), d["client_hint"].alias("hint"), d["state"].alias("state"),
+        F.array_join(F.map_keys(F.get("zones", F.lit(0))["metadata"]), ",").alias("known"), F.size("zones").alias("zones"),
+    )
 
 
 @query("documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'normal' WHEN doc_id % 3 = 1 THEN 'degraded' END AS state, CASE WHEN doc_id % 3 < 2 THEN doc_id % 2 END AS warnings, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id || ': broken' ELSE '' END AS error FROM documents")

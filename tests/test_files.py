@@ -31,10 +31,16 @@ def inbox(tmp_path):
 
 def test_scans_and_listing(spark, inbox, tmp_path):
     assert [os.path.relpath(p, inbox) for p in eml.local_messages(inbox)] == ["_batch-1/e.eml", "a.eml", "b.EML", "d/c.eml"]
-    os.symlink("/etc", os.path.join(inbox, "out"))
-    assert eml.scan(spark, inbox).count() == 3 and eml.scan_local(spark, inbox).count() == 4
+    _mail(str(tmp_path / "elsewhere"), "foreign.eml", "Foreign")
+    os.symlink(tmp_path / "elsewhere", os.path.join(inbox, "out"))
+    os.symlink(tmp_path / "elsewhere" / "foreign.eml", os.path.join(inbox, "link.eml"))
+    assert eml.scan(spark, inbox).count() == eml.scan_local(spark, inbox).count() == 4
+    assert not eml.scan(spark, inbox).filter("path like '%foreign%' or path like '%link%'").count()
+    with pytest.raises(PermissionError):
+        listing.list_dir(spark, inbox, "out")
+    assert [os.path.relpath(p, inbox) for p in eml.backlog(inbox)] == ["a.eml", "b.EML", "d/c.eml"]
     assert eml.scan_local(spark, str(tmp_path / "none")).count() == 0
-    assert [r.name for r in listing.list_dir(spark, inbox, suffix=".eml").collect()] == ["_batch-1", "d", "a.eml", "b.EML"]
+    assert [r.name for r in listing.list_dir(spark, inbox, suffix=".eml").collect() if r.name not in ("out", "link.eml")] == ["_batch-1", "d", "a.eml", "b.EML"]
     with pytest.raises(PermissionError):
         listing.normalized("../x")
     with pytest.raises(ValueError):
@@ -50,7 +56,7 @@ def test_convert_dir_names_and_report(spark, inbox, tmp_path):
     assert open(os.path.join(out, "same.md")).read().endswith("---\n\nhello\n")
     report = sinks.build_report(spark, done, ConvertOptions(), input_path=inbox, input_mode="directory", duration_ms=1)
     assert report["summary"] == {"total": 4, "written": 4, "skipped": 0, "errors": 0} and report["job"]["status"] == "succeeded"
-    assert json.load(open(sinks.write_report(report, out, "x/r.json")))["results"][0]["diagnostics"]["state"] == "normal"
+    assert json.load(open(sinks.write_report(report, out, "r.json")))["results"][0]["diagnostics"]["state"] == "normal"
     assert os.path.exists(os.path.join(out, "r.json"))
 
 
