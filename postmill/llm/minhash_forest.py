@@ -44,7 +44,7 @@ SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, REGION, NEXT, CHUNK = 38, 4, 8, 3, 2048
 #: Bits of the one-bit sketch that prunes candidates, and the least equal ones: a pair of 75 % has fewer with a probability of under 1e-7.
 SKETCH_BITS, LEAST_EQUAL = 128, 90
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Ids of rows without one: from here on.
 UNNAMED = (1 << 63) - 1 - (1 << 40)
 #: Nodes whose sets are fetched by a broadcast of their names, at most; beyond, by a shuffle.

@@ -18,7 +18,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Fixed odd bases.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 #: Bytes hashed at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

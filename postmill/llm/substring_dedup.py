@@ -33,7 +33,7 @@ from postmill.llm.storage import materialize
 
 WINDOW, ANCHOR = 50, 8
 #: Text bytes that are hashed at a time.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: A null id counts as larger than all others.
 LAST = (1 << 63) - 1
 

@@ -41,7 +41,7 @@ from postmill.llm.storage import materialize
 
 MATCH, GRAM = 400, 32
 #: Text bytes that are sampled at a time; segments that make a batch; bytes of a family after which it ends with its core.
-SLICE, BATCH, FAMILY_BYTES = 1 << 20, 2048, 32 << 20
+SLICE, BATCH, FAMILY_BYTES = 1 << 18, 2048, 16 << 20
 #: Segments of one core in one task, about.
 CHUNK_SEGMENTS = 8192
 _PLACE = np.uint64((1 << 22) - 1)
