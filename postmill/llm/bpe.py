@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.storage import bounded_batches
+from postmill.llm.storage import bounded_batches, lean
 
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Text bytes that are turned into rows at a time, words (and pairs of tokens) that a task remembers, bytes in one recursive query.
@@ -283,7 +283,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), listed, pa.array(engine.decode(ids), pa.binary())], names=[id_col, "ids", "decoded"])
         engine.close()
 
-    return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
+    return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), f"`{id_col}` {id_type}, ids array<int>, decoded binary")
 
 
 def digests(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

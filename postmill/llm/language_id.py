@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.llm import rolling
-from postmill.llm.storage import bounded_batches
+from postmill.llm.storage import bounded_batches, lean
 
 PROFILE, TRAIN_DOCS = 400, 2000
 UNDETERMINED = "und"
@@ -85,7 +85,7 @@ def profiles(labelled: DataFrame, *, lang_col: str, id_col: str, text_col: str,
         return {}
     part = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(_STEPS, -(-_STEPS * train_docs // n)))))
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(7), F.col(id_col).cast("string")), F.lit(_STEPS)) < F.element_at(part, F.col(lang_col)))
-    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
     found: dict[str, list[tuple[int, int]]] = {}
     for r in first.collect():
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], *, id_col: str = "doc
                     score.append(1.0 - float(far[k]) / (size * len(own)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
 def fold(id_column: Column, folds: int) -> Column:

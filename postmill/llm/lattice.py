@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from postmill.llm import rolling
 from postmill.llm.components import connected_components
 from postmill.llm.dealing import deal, gathered, groups
-from postmill.llm.storage import materialize
+from postmill.llm.storage import lean, materialize
 
 COSINE = 0.95
 #: Tables, blocks of eight dimensions, neighbouring cells probed in each block, and the scale of the projections.
@@ -207,17 +207,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     take part. Other columns are ignored; an empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("_v"), F.col(vector_col).alias("_e"))
-    clean = materialize(rows.filter("_v is not null").mapInArrow(_clean, "_v long, raw binary"), "lattice-clean")
+    clean = materialize(rows.filter("_v is not null").mapInArrow(lean(_clean), "_v long, raw binary"), "lattice-clean")
     nodes = materialize(clean.filter("raw is not null").groupBy("raw").agg(F.min("_v").alias("node"), F.count("*").alias("times")), "lattice-nodes")
-    placed = materialize(nodes.select("node", "raw").mapInArrow(_hashed, "cell long, node long, own boolean"), "lattice-cells")
+    placed = materialize(nodes.select("node", "raw").mapInArrow(lean(_hashed), "cell long, node long, own boolean"), "lattice-cells")
     met = placed.groupBy("cell").agg(F.count("*").alias("m"), F.max("own").alias("some")).filter("m > 1 and some").select("cell")
     meeting = deal(placed.join(met, "cell"), "cell", CHUNK).join(nodes.select("node", "raw"), "node")
-    links = gathered(meeting, "cell").select("cell", "i", "j", "side", "node", "own", "raw").mapInArrow(_linked(cosine), "a long, b long")
+    links = gathered(meeting, "cell").select("cell", "i", "j", "side", "node", "own", "raw").mapInArrow(lean(_linked(cosine)), "a long, b long")
     known = materialize(connected_components(links), "lattice-components")
     members = nodes.join(known, "node").select("component", "node", "times", "raw")
     widest = nodes.agg(F.max(F.octet_length("raw"))).first()[0] or 8
     chunk = max(1, min(COUNTED, COUNTED_BYTES // widest))
-    counted = gathered(deal(members, "component", chunk), "component").select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(_counted(cosine), "node long, n long")
+    counted = gathered(deal(members, "component", chunk), "component").select("component", "i", "j", "side", "node", "times", "raw").mapInArrow(lean(_counted(cosine)), "node long, n long")
     degree = counted.groupBy("node").agg(F.sum("n").alias("n"))
     found = nodes.join(known, "node", "left").join(degree, "node", "left").select("raw", F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"))
     result = clean.join(found, "raw", "left").select(F.col("_v").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "_v").alias("component_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import license_scan
-from postmill.llm.storage import bounded_batches
+from postmill.llm.storage import bounded_batches, lean
 
 WORD = re.compile(r"[^\W_]+")
 #: Titles, which only whole lines are compared to: within a sentence so few words name a licence without granting it.
@@ -182,4 +182,4 @@ def passages(docs: DataFrame, templates: dict[str, str] = license_scan.TEMPLATES
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_search(templates, least), f"`{id_col}` {kind}, unit int, license string, dice double")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(_search(templates, least)), f"`{id_col}` {kind}, unit int, license string, dice double")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from postmill.llm import rolling
 from postmill.llm.components import connected_components
 from postmill.llm.dealing import deal_strays, gathered, groups
-from postmill.llm.storage import materialize
+from postmill.llm.storage import lean, materialize
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, REGION, NEXT, CHUNK = 38, 4, 8, 3, 2048
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smaller name. Other columns are ignored; an empty table gives an empty one.
     """
     keyed = _keyed(docs, id_col, text_col)
-    signed = materialize(keyed.mapInArrow(_signatures(shingle), "_d long, n long, s1 long, s2 long, sig array<int>, k1 long, k2 long"), "forest-signatures")
+    signed = materialize(keyed.mapInArrow(lean(_signatures(shingle)), "_d long, n long, s1 long, s2 long, sig array<int>, k1 long, k2 long"), "forest-signatures")
     whole = signed.filter("n > 0")
     # Of equal sets the smallest id stands for all.
     # Written, so that joins with it shuffle both sides and Spark can split a partition of a frequent set.
@@ -235,17 +235,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     order = ["t", *(f"v{k}" for k in range(1, DEPTH + 1)), "node"]
     paths = nodes.select("node", "n", "k1", "k2", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
     paths = paths.select("t", *(F.get("sig", tree + (k - 1)).alias(f"v{k}") for k in range(1, DEPTH + 1)), "node", "n", "k1", "k2")
-    scanned = materialize(paths.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, "a long, b long, x long"), "forest-candidates")
+    scanned = materialize(paths.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_scan), "a long, b long, x long"), "forest-candidates")
     pairs = scanned.filter("b is not null").groupBy("a", "b").agg(F.max("x").alias("x"))
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(scanned.filter("b is null").select("a")).distinct(), "forest-wanted")
     few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     texts = keyed.join(F.broadcast(wanted) if few else wanted, F.col("_d") == F.col("node"), "left_semi").select("_d", "_text")
-    sets = materialize(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "forest-sets")
+    sets = materialize(texts.mapInArrow(lean(_sets(shingle)), "node long, shingles binary"), "forest-sets")
 
     def confirm(p: DataFrame) -> DataFrame:
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
-        return materialize(p.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long").distinct(), "forest-links")
+        return materialize(p.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_confirmed), "a long, b long").distinct(), "forest-links")
 
     either = pairs.select("a", "b", "x").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "x"))
     best = either.groupBy("a").agg(F.max(F.struct("x", "b")).alias("top"), F.min("b").alias("low")).select("a", F.explode(F.array("top.b", "low")).alias("b"))
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = materialize(sums.filter("parts > 1").select("region", F.col("main.component").alias("main"), "many", (F.col("many") - F.col("main.m")).alias("few")), "forest-mixed")
     strays = placed.join(mixed, "region").select("region", F.col("a").alias("node"), "component", "few", "many", (F.col("component") != F.col("main")).alias("astray"))
     met = gathered(deal_strays(strays, "region", CHUNK).join(sets, "node"), "region").select("region", "i", "j", "node", "component", "own", "shingles")
-    more = materialize(met.mapInArrow(_stray_links, "a long, b long").distinct(), "forest-links")
+    more = materialize(met.mapInArrow(lean(_stray_links), "a long, b long").distinct(), "forest-links")
     if more.limit(1).count():
         known = materialize(connected_components(links.union(more)), "forest-components")
 

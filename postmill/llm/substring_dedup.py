@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import rolling
-from postmill.llm.storage import materialize
+from postmill.llm.storage import lean, materialize
 
 WINDOW, ANCHOR = 50, 8
 #: Text bytes that are hashed at a time.
@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     keyed = _keyed(docs, id_col, text_col)
     names = "h long, seg long, _d long, _r long, pos int, n int"
-    found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_runs(window, anchor), names), "substring-runs")
+    found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(lean(_runs(window, anchor)), names), "substring-runs")
     # Written, so that the join shuffles both sides and Spark can split a partition of a frequent run.
     shared = materialize(found.groupBy("h").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h"), "substring-recurring")
     runs = materialize(found.join(shared, "h"), "substring-shared")
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = distinct.join(several, "h").select("at._d", "at._r", F.struct("h", "seg", "at.pos", "n").alias("part"))
     wanted = parts.groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
     # With _id, which is not read here, the texts are shuffled as for the last join, so once in all.
-    hashed = materialize(keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(_windows(window), "h1 long, h2 int, _d long, h long, seg long, k int"), "substring-windows")
+    hashed = materialize(keyed.join(wanted, ["_d", "_r"]).select("_d", "_text", "parts", "_id").mapInArrow(lean(_windows(window)), "h1 long, h2 int, _d long, h long, seg long, k int"), "substring-windows")
     counted = materialize(hashed.groupBy("h1", "h2").agg(F.min("_d").alias("low"), F.max("_d").alias("high")).filter("low < high").select("h1", "h2", "low"), "substring-counted")
     early = hashed.join(counted, ["h1", "h2"]).filter("low < _d").groupBy("h", "seg").agg(F.collect_list("k").alias("ks"))
     first = distinct.select("h", "seg", F.col("at._d").alias("_d"))
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = later.union(own).groupBy("_d", "_r").agg(F.collect_list(F.struct("pos", "n", "whole", "ks")).alias("marks"))
     id_type = docs.schema[id_col].dataType.simpleString()
     removed = keyed.join(marks, ["_d", "_r"], "left").select("_id", "_text", "marks").mapInArrow(
-        _removals(window), f"_id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
+        lean(_removals(window)), f"_id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
     )
     return removed.withColumnRenamed("_id", id_col)
 

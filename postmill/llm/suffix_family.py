@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import rolling
-from postmill.llm.storage import materialize
+from postmill.llm.storage import lean, materialize
 
 MATCH, GRAM = 400, 32
 #: Text bytes that are sampled at a time; segments that make a batch; bytes of a family after which it ends with its core.
@@ -296,9 +296,9 @@ def repeated_spans(occurrences: DataFrame, keyed: DataFrame, *, match: int, gram
     parts = distinct.join(several, "core").select("at._d", "at._r", part.alias("part")).groupBy("_d", "_r").agg(F.collect_list("part").alias("parts"))  # bounded by the document's own length
     # With columns that are not read here, the texts are shuffled as for the last join, so once in all.
     others = [c for c in keyed.columns if c not in ("_d", "_r", "_text")]
-    cut = keyed.join(parts, ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(_cut(match), "core long, chunk int, seg long, n int, near int, block int, wide boolean, bytes binary")
+    cut = keyed.join(parts, ["_d", "_r"]).select(F.col("_text").cast("binary"), "parts", *others).mapInArrow(lean(_cut(match)), "core long, chunk int, seg long, n int, near int, block int, wide boolean, bytes binary")
     span = "array<struct<low:int,high:int>>"
-    indexed = cut.repartition("core", "chunk").sortWithinPartitions("core", "chunk").mapInArrow(_indexed(match, gram), f"core long, seg long, spans {span}, names array<struct<k:int,h1:long,h2:long>>")
+    indexed = cut.repartition("core", "chunk").sortWithinPartitions("core", "chunk").mapInArrow(lean(_indexed(match, gram)), f"core long, seg long, spans {span}, names array<struct<k:int,h1:long,h2:long>>")
     # Equal segments are one in the index; all their strings are repeated.
     copied = distinct.filter("times > 1").select("core", "seg", F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))).alias("spans"))
     within = lambda x: x.filter("size(spans) > 0").select("core", "seg", "spans").unionByName(copied)
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     keyed = rows.select(F.coalesce(F.col("_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64("_id", "_text").alias("_r"), *rows.columns)
     names = "core long, seg long, _d long, _r long, start int, n int, near int, block int"
-    found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(_segments(match, gram), names), "suffix-segments")
+    found = materialize(keyed.select("_d", "_r", "_text").mapInArrow(lean(_segments(match, gram)), names), "suffix-segments")
     # Written, so that the join shuffles both sides and Spark can split a partition of a frequent core.
     again = materialize(found.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core"), "suffix-recurring")
     occurrences = materialize(found.join(again, "core"), "suffix-occurrences")
@@ -338,6 +338,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return (
         keyed.join(marks, ["_d", "_r"], "left")
         .select("_id", "_text", "marks", *rows.columns[2:])
-        .mapInArrow(_removals(match), ", ".join([f"_id {id_type}", "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", *more]))
+        .mapInArrow(lean(_removals(match)), ", ".join([f"_id {id_type}", "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", *more]))
         .withColumnRenamed("_id", id_col)
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import rolling
-from postmill.llm.storage import bounded_batches
+from postmill.llm.storage import bounded_batches, lean
 
 BUCKETS, SIZE, GRAMS = 1 << 18, 4, (3, 4, 5)
 TRAIN_DOCS, LEAST_DOCS, EPOCHS, STEP_DOCS, RATE, SHORTER, GAIN = 2000, 8, 50, 128, 0.03, 0.6, 300.0
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # About train_docs ids a class; the join broadcasts only these.
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
     texts = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_y").alias("label"), "text")
-    rows = texts.mapInArrow(_bags, "label int, buckets array<int>, counts array<int>").toArrow()
+    rows = texts.mapInArrow(lean(_bags), "label int, buckets array<int>, counts array<int>").toArrow()
     y = rows["label"].to_numpy()
     flat = []
     for name in ("buckets", "counts") if len(y) else ():
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 scores = [shared.value.score(bag) for bag in buckets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, score double")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), f"`{id_col}` {id_type}, score double")
