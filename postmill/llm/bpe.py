@@ -34,7 +34,7 @@ from postmill.llm.storage import bounded_batches, lean
 
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Text bytes that are turned into rows at a time, words (and pairs of tokens) that a task remembers, bytes in one recursive query.
-SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 2 << 20, 500_000, 1 << 20
+SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 1 << 19, 500_000, 1 << 18
 #: Bytes of a piece of a word; wider windows contract all occurrences of a pair in a round where that is provably the same.
 PIECE, WIDE = 64, 512
 #: Of a task's DuckDB. It may not spill: no local folder is written.
