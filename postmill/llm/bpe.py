@@ -34,7 +34,7 @@ from postmill.llm.storage import bounded_batches, lean
 
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Text bytes that are turned into rows at a time, words (and pairs of tokens) that a task remembers, bytes in one recursive query.
-SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 1 << 19, 500_000, 1 << 18
+SLICE_BYTES, CACHE_WORDS, QUERY_BYTES = 2 << 20, 500_000, 1 << 20
 #: Bytes of a piece of a word; wider windows contract all occurrences of a pair in a round where that is provably the same.
 PIECE, WIDE = 64, 512
 #: Of a task's DuckDB. It may not spill: no local folder is written.
@@ -261,12 +261,13 @@ def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, ids array<int>, decoded binary) of every row of `df`; rows map one to one, no shuffle.
 
     A null text counts as empty: no ids, no bytes. Strings that other encoders
     treat as special tokens are ordinary text. Repeated rows give repeated
     results; other columns of `df` are ignored; an empty table gives an empty one.
+    Smaller slices take less memory and some more time; results are the same.
     """
     bounded_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
@@ -276,7 +277,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, *, id_col: str =
         engine = BpeEngine(ranks.value, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE_BYTES):
+            for a, b in slices(texts, slice_bytes):
                 ids = engine.encode(texts[a:b])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
