@@ -17,6 +17,8 @@ from postmill.llm.storage import materialize
 
 #: Bytes of a string that substring removal looks for, so that a repeated passage of over 50 words has one: words of four letters on average.
 PASSAGE_BYTES = 250
+#: Text bytes that are encoded at a time, few, as workers share an executor with what earlier stages left.
+SLICE_BYTES = 1 << 19
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row."""
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, slice_bytes=SLICE_BYTES))
 
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("suffix_array_dedup", substring_dedup), ("mix_sources", mix_sources), ("byte_bpe", tokens)]
