@@ -18,6 +18,7 @@ from postmill.functions import html as H
 from postmill.functions import mime, names, text
 from postmill.functions.calendar import calendar_summaries
 from postmill.functions.mime import parse_eml
+from postmill.functions.rows import bounded_batches
 from postmill.operators import convert, diagnostics, reports, ui
 from postmill.options import ConvertOptions
 from postmill.sources.eml import is_message
@@ -33,7 +34,11 @@ def query(table: str, sql: str):
     """Register a function of one table under its own name, with its SQL."""
 
     def register(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return f(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+
+        QUERIES[f.__name__] = run
         ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -84,7 +89,7 @@ def mail_sender_resolve(t: DataFrame) -> DataFrame:
 @query("documents", r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '^[ \t\r\f\x0b\n]+|[ \t\r\f\x0b\n]+$', '', 'g'), '\s+', ' ', 'g')) AS subject_md5 FROM documents")
 def mail_subject_rfc2047(t: DataFrame) -> DataFrame:
     flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\f\x0b\n]+", " ")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(flat) / 30).cast("int")), lambda k: F.substr(flat, 30 * k + 1, F.lit(30)))
+    pieces = F.regexp_extract_all(flat, F.lit("(?s).{1,30}"), F.lit(0))
     words = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("=?utf-8?b?"), F.base64(p.cast("binary")), F.lit("?="))), "\r\n ")
     return t.select("doc_id", F.md5(parse_eml(_message(words, F.lit("a@b.c"), F.lit(""), F.lit("b")))["subject"].cast("binary")).alias("subject_md5"))
 
