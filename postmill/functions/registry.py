@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from postmill.functions import html, mime, names, text
-
-
-def _series(f, kind: str):
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(f)
-
-    return F.pandas_udf(apply, kind)
+from postmill.functions.rows import bounded_batches, by_row
 
 
 def register(spark: SparkSession) -> list[str]:
     """Register slugify, sanitize_html, html_to_markdown, quote_patterns, reply_zones and parse_eml; the names."""
+    bounded_batches(spark)
     functions = {
-        "slugify": _series(names.slug, "string"),
-        "sanitize_html": _series(html.sanitize, "string"),
-        "html_to_markdown": _series(html.markdown, "string"),
-        "quote_patterns": _series(lambda h: html.quote_patterns(html.sanitize(h)), "array<string>"),
-        "reply_zones": _series(text.split_replies, f"array<{text.ZONE}>"),
-        "parse_eml": F.pandas_udf(mime._parse_batch, mime.PARSED),
+        "slugify": by_row(names.slug, "string"),
+        "sanitize_html": by_row(html.sanitize, "string"),
+        "html_to_markdown": by_row(html.markdown, "string"),
+        "quote_patterns": by_row(lambda h: html.quote_patterns(html.sanitize(h)), "array<string>"),
+        "reply_zones": by_row(text.split_replies, f"array<{text.ZONE}>"),
+        "parse_eml": by_row(mime._row, mime.PARSED),
     }
     for name, f in functions.items():
         spark.udf.register(name, f)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +17,7 @@ from postmill.functions import html as H
 from postmill.functions import mime, names, text
 from postmill.functions.calendar import calendar_summaries
 from postmill.functions.mime import parse_eml
-from postmill.functions.rows import bounded_batches
+from postmill.functions.rows import bounded_batches, by_row
 from postmill.operators import convert, diagnostics, reports, ui
 from postmill.options import ConvertOptions
 from postmill.sources.eml import is_message
@@ -45,15 +44,6 @@ def query(table: str, sql: str):
     return register
 
 
-def _udf(f: Callable, kind: str) -> Callable[..., Column]:
-    """A vectorised UDF of a function of one string."""
-
-    def apply(c: Column) -> Column:
-        return F.pandas_udf(lambda s: s.map(f), kind)(c)
-
-    return apply
-
-
 C = F.col
 
 
@@ -105,11 +95,11 @@ def mail_date_iso(t: DataFrame) -> DataFrame:
 def body_select_last_html(t: DataFrame) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", F.when(C("role") == "assistant", "html").otherwise("plain").alias("kind"), C("text").alias("content"))))
 
-    def chosen(lists: pd.Series) -> pd.DataFrame:
-        found = [mime.selected([dict(x) for x in sorted(c, key=lambda x: x["turn"])]) or {"turn": None, "content": None} for c in lists]
-        return pd.DataFrame([(x["turn"], x["content"]) for x in found], columns=["turn", "body"])
+    def chosen(candidates: list[dict]) -> dict:
+        found = mime.selected(sorted(candidates, key=lambda x: x["turn"])) or {"turn": None, "content": None}
+        return {"turn": found["turn"], "body": found["content"]}
 
-    picked = F.pandas_udf(chosen, "struct<turn:long,body:string>").asNondeterministic()
+    picked = by_row(chosen, "struct<turn:long,body:string>").asNondeterministic()
     return t.filter(F.trim("text") != "").groupBy("conv_id").agg(turns.alias("c")).select("conv_id", picked("c").alias("b")).select("conv_id", "b.*")
 
 
@@ -135,11 +125,7 @@ def attachment_explode(t: DataFrame) -> DataFrame:
 def cid_map_lookup(t: DataFrame) -> DataFrame:
     p = t.select("doc_id", parse_eml(_mixed(C("doc_id"), F.lit("b"))).alias("p")).select("doc_id", "p.inline_cid_to_filename", C("p.inline_cid_to_data_uri").alias("u"))
     cid = _s("c", C("doc_id"))
-
-    def rewritten(texts: pd.Series, uris: pd.Series) -> pd.Series:
-        return pd.Series([convert.rewrite_images(x, dict(u), {"gone"}) for x, u in zip(texts, uris)])
-
-    body = F.pandas_udf(rewritten, "string")(_s("see ![a](cid:gone) ![](cid:", cid, ")"), C("u"))
+    body = by_row(lambda x, uris: convert.rewrite_images(x, dict(uris), {"gone"}), "string")(_s("see ![a](cid:gone) ![](cid:", cid, ")"), C("u"))
     return p.select("doc_id", F.element_at("inline_cid_to_filename", cid).alias("filename"), body.alias("body"))
 
 
@@ -156,7 +142,7 @@ def _src() -> Column:
 @query("documents", f"SELECT doc_id, CASE WHEN contains({_SRC_SQL}, 'googleusercontent.com/mail-sig/') THEN 'gmail_mail_sig_url' WHEN contains(lower({_SRC_SQL}), 'logo') THEN 'filename_pattern:logo' WHEN contains({_SRC_SQL}, 'badge') THEN 'filename_pattern:badge' END AS reason FROM documents")
 def img_signature_reason(t: DataFrame) -> DataFrame:
     reason = lambda x: next((s["reason"] for s in H.filter_images(x, signatures=True, pixels=False)[1]), None)
-    return t.select("doc_id", _udf(reason, "string")(_s('<p>x<img src="', _src(), '"></p>')).alias("reason"))
+    return t.select("doc_id", by_row(reason, "string")(_s('<p>x<img src="', _src(), '"></p>')).alias("reason"))
 
 
 @query(
@@ -172,7 +158,7 @@ def img_tracking_reason(t: DataFrame) -> DataFrame:
     style = pick(F.floor(i / 24) % 5, "", "width:1px;height:1px;", "display: none", "max-width:1px;", "height:1px")
     page = _s('<p><img src="https://x.org/p.jpg" width="', w, '" height="', h, '" style="', style, '"></p>')
     reason = lambda x: next((s["reason"] for s in H.filter_images(x, signatures=False, pixels=True)[1]), None)
-    return t.select("doc_id", _udf(reason, "string")(page).alias("reason"))
+    return t.select("doc_id", by_row(reason, "string")(page).alias("reason"))
 
 
 @query(
@@ -199,37 +185,37 @@ def img_retain_referenced(t: DataFrame) -> DataFrame:
 
 @query("pages", "SELECT page_id, false AS active, (html LIKE '%<h1>%') AS has_h1 FROM pages")
 def html_no_active_content(t: DataFrame) -> DataFrame:
-    clean = t.select("page_id", _udf(H.sanitize, "string")(C("html")).alias("h"))
+    clean = t.select("page_id", by_row(H.sanitize, "string")(C("html")).alias("h"))
     return clean.select("page_id", F.regexp_like("h", F.lit(r"(?i)<(script|style|nav|footer)\b|<!--")).alias("active"), F.contains("h", F.lit("<h1>")).alias("has_h1"))
 
 
 @query("pages", "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) WHERE lower(tag) IN ('a', 'b', 'blockquote', 'br', 'code', 'div', 'em', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'hr', 'i', 'img', 'li', 'ol', 'p', 'pre', 'span', 'strong', 'sub', 'sup', 'table', 'tbody', 'td', 'th', 'thead', 'tr', 'ul') GROUP BY ALL")
 def html_tag_inventory(t: DataFrame) -> DataFrame:
-    tags = F.regexp_extract_all(_udf(H.sanitize, "string")(C("html")), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
+    tags = F.regexp_extract_all(by_row(H.sanitize, "string")(C("html")), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
     return t.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("pages", """SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages""")
 def html_links(t: DataFrame) -> DataFrame:
-    return t.select("page_id", F.explode(F.regexp_extract_all(_udf(H.sanitize, "string")(C("html")), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
+    return t.select("page_id", F.explode(F.regexp_extract_all(by_row(H.sanitize, "string")(C("html")), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
 @query("pages", """SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
 def html_markdown_links(t: DataFrame) -> DataFrame:
-    links = F.regexp_count(_udf(H.markdown, "string")(C("html")), F.lit(r"\]\([^)]+\)"))
+    links = F.regexp_count(by_row(H.markdown, "string")(C("html")), F.lit(r"\]\([^)]+\)"))
     return t.select("page_id", links.cast("long").alias("n")).filter("n > 0")
 
 
 @query("documents", "SELECT doc_id, doc_id % 2 = 0 AS italic, '<p>x' || doc_id || ' y</p>' AS unwrapped FROM documents")
 def html_italic_repair(t: DataFrame) -> DataFrame:
     page = F.when(C("doc_id") % 2 == 0, _s("<p>x<i>", C("doc_id"), "</i> y</p>")).otherwise(_s("<p>x", C("doc_id"), " y</p>"))
-    return t.select("doc_id", _udf(H.has_italic, "boolean")(page).alias("italic"), _udf(H.unwrap_italic, "string")(page).alias("unwrapped"))
+    return t.select("doc_id", by_row(H.has_italic, "boolean")(page).alias("italic"), by_row(H.unwrap_italic, "string")(page).alias("unwrapped"))
 
 
 @query("documents", "SELECT doc_id, ['gmail', 'outlook', 'yahoo', 'apple_mail,generic,thunderbird', 'generic', ''][1 + doc_id % 6] AS patterns, ['gmail', 'outlook', 'generic', 'generic', 'generic', 'generic'][1 + doc_id % 6] AS hint FROM documents")
 def html_quote_patterns(t: DataFrame) -> DataFrame:
     pages = ['<div class="x gmail_quote">q</div>', '<div id="divRplyFwdMsg">q</div>', '<div class="yahoo_quoted">q</div>', '<blockquote type="cite">q</blockquote>', "<p>On Monday someone wrote: </p>", '<span class="gmail_quote">q</span>']
-    found = _udf(lambda h: H.quote_patterns(H.sanitize(h)), "array<string>")(F.get(F.array(*map(F.lit, pages)), (C("doc_id") % 6).cast("int")))
+    found = by_row(lambda h: H.quote_patterns(H.sanitize(h)), "array<string>")(F.get(F.array(*map(F.lit, pages)), (C("doc_id") % 6).cast("int")))
     p = t.select("doc_id", found.alias("p"))
     return p.select("doc_id", F.array_join("p", ",").alias("patterns"), diagnostics.client_hint(C("p")).alias("hint"))
 
@@ -239,7 +225,7 @@ def _zones(page: Column) -> Column:
         rule, zones = H.segment(h)
         return [rule or "", *(H.markdown(z["content"]) for z in zones)]
 
-    return _udf(split, "array<string>")(page)
+    return by_row(split, "array<string>")(page)
 
 
 @query("documents", "SELECT doc_id, 'gmail_quote' AS rule, 'reply ' || doc_id || chr(10) || chr(10) || 'after' AS body, 'old ' || source AS quoted FROM documents")
@@ -333,11 +319,7 @@ def _result_rows(t: DataFrame) -> DataFrame:
 
 def _of_row(f: Callable[[dict], str]) -> Callable[[Column], Column]:
     """A vectorised UDF of a function of a result row."""
-
-    def batch(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([f({k: list(v) if k in ("attachments", "calendar") else v for k, v in r.items()}) for r in rows.to_dict("records")], dtype="object")
-
-    return lambda c: F.pandas_udf(batch, "string")(c)
+    return by_row(f, "string")
 
 
 @query("documents", """SELECT doc_id, '{"source": "' || source || '.eml", "subject": "s' || doc_id || '", "sender": "a@b.c", "date": null, "attachments": []' || CASE WHEN doc_id % 2 = 0 THEN ', "calendar": ["Talk"]' ELSE '' END || '}' AS front FROM documents""")

@@ -1,6 +1,7 @@
 """Python functions take rows in bounded batches and hand results back in bounded pieces."""
 
 import os
+import re
 import time
 
 import pyarrow as pa
@@ -70,3 +71,16 @@ def test_long_subject(spark, tmp_path):
     found = dict(map(tuple, catalogue.QUERIES["mail_subject_rfc2047"](spark, str(tmp_path)).collect()))
     assert found == {k: hashlib.md5(v.encode()).hexdigest() for k, v in ((1, text), (2, ""), (3, "a" * 60))}
     assert time.monotonic() - began < 30
+
+
+def goes_by_row(spark, name):
+    """Whether all Python functions of a query's plan hand results back in pieces."""
+    from pyspark.util import PythonEvalType
+
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    return set(re.findall(r"ArrowEvalPython .*\], (\d+)", plan)) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_markdown_links_go_by_row(unset):
+    assert batches_are_bounded(unset, "html_markdown_links") and goes_by_row(unset, "html_markdown_links")
