@@ -84,3 +84,8 @@ def goes_by_row(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_markdown_links_go_by_row(unset):
     assert batches_are_bounded(unset, "html_markdown_links") and goes_by_row(unset, "html_markdown_links")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_tag_inventory_goes_by_row(unset):
+    assert batches_are_bounded(unset, "html_tag_inventory") and goes_by_row(unset, "html_tag_inventory")
