@@ -6,12 +6,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postmill.functions.rows import by_row
 from postmill.functions.text import strip
 
 MOST_SUFFIXES = 10_000
@@ -25,11 +25,7 @@ def slug(subject: str | None, fallback: str = "email") -> str:
 
 def slugify(subject: Column) -> Column:
     """A file-name form of a subject; needs Unicode decomposition, hence a vectorised UDF."""
-    return F.pandas_udf(_slug_batch, "string")(subject)
-
-
-def _slug_batch(s: pd.Series) -> pd.Series:
-    return s.map(slug)
+    return by_row(slug, "string")(subject)
 
 
 def clean_filename(raw: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.rows import by_row
 from postmill.options import ConvertOptions
 
 ZONE = "struct<kind:string,content:string,confidence:double>"
@@ -67,12 +67,8 @@ def split_replies(text: str | None) -> list[dict]:
     return [{"kind": "BODY" if k == 0 and first else "QUOTED", "content": p, "confidence": 0.8} for k, p in enumerate(parts)]
 
 
-def _reply_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(split_replies)
-
-
 def reply_zones(text: Column) -> Column:
-    return F.pandas_udf(_reply_batch, f"array<{ZONE}>")(text)
+    return by_row(split_replies, f"array<{ZONE}>")(text)
 
 
 def strip_signature(c: Column) -> Column:

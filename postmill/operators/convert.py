@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from postmill.functions import text as X
 from postmill.functions.calendar import calendar_summaries
 from postmill.functions.mime import parse_eml
 from postmill.functions.names import slugify
+from postmill.functions.rows import bounded_batches, by_row
 from postmill.operators.diagnostics import decision, quality_state
 from postmill.options import ConvertOptions
 
@@ -56,11 +56,7 @@ def html_stage(html: str | None, data_uris: dict[str, str], options: ConvertOpti
 
 
 def _html_udf(options: ConvertOptions):
-    def batch(html: pd.Series, uris: pd.Series) -> pd.DataFrame:
-        rows = [html_stage(h, dict(u) if u is not None else {}, options) for h, u in zip(html, uris)]
-        return pd.DataFrame(rows, columns=list(html_stage(None, {}, options)))
-
-    return F.pandas_udf(batch, HTML_RESULT).asNondeterministic()
+    return by_row(lambda html, uris: html_stage(html, dict(uris or ()), options), HTML_RESULT).asNondeterministic()
 
 
 def without_stripped(names: Column, removed: Column) -> Column:
@@ -98,6 +94,7 @@ def convert_df(messages: DataFrame, options: ConvertOptions | None = None, *, so
     any text is HTML, one for the tree.
     """
     options = options or ConvertOptions()
+    bounded_batches(messages.sparkSession)
     parsed = messages.select(F.col(source_col).alias("source"), parse_eml(F.col(content_col)).alias("p")).select("source", "p.*")
     staged = parsed.withColumn("h", _html_udf(options)(F.col("html_body"), F.col("inline_cid_to_data_uri")))
     rule_zones = X.clean_zones(F.col("h.zones"), options)

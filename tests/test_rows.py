@@ -89,3 +89,8 @@ def test_markdown_links_go_by_row(unset):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_tag_inventory_goes_by_row(unset):
     assert batches_are_bounded(unset, "html_tag_inventory") and goes_by_row(unset, "html_tag_inventory")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_convert_messages_goes_by_row(unset):
+    assert batches_are_bounded(unset, "convert_messages") and goes_by_row(unset, "convert_messages")
